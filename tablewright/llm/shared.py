@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import tablewright
+
 #: Buckets of the hash by which bounded samples are drawn.
 SAMPLE_BUCKETS = 1 << 30
 
@@ -46,11 +50,27 @@ def bernoulli(key: Column, seed: int, fraction: float) -> Column:
     return bucket < F.lit(int(min(1.0, max(0.0, fraction)) * SAMPLE_BUCKETS))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each application: nothing need be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_tablewright_shipped", False):
+        return
+    root = Path(tablewright.__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="tablewright-code-")) / "tablewright.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._tablewright_shipped = True
+
+
 def map_arrow(
     frame: DataFrame,
     step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | T.StructType,
 ) -> DataFrame:
+    """``step`` over the Arrow batches of every partition, with this package's code at hand."""
+    ship(frame.sparkSession)
     return frame.mapInArrow(step, schema)
 
 
