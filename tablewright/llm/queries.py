@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, packing, simhash, urlfilter, warc
+from tablewright.llm import decontaminate, linededup, packing, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,15 +47,37 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return linededup.without_copies(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), digest.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_packing": op3_packing,
     "op5_warc": op5_warc,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_line_dedup": r"""
+        WITH d AS (SELECT DISTINCT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        r AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM d),
+        w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM r),
+        p AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM w),
+        ends AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.c - a.c + a.w >= 50 GROUP BY ALL),
+        starts AS (SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.c - a.c + a.w >= 50 GROUP BY b.doc_id, b.pos),
+        runs AS (SELECT * FROM ends UNION SELECT * FROM starts),
+        named AS (SELECT runs.*, array_to_string(l[s + 1 : e + 1], chr(10)) AS t FROM runs JOIN d USING (doc_id)),
+        later AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS k FROM named),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM later WHERE k > 1)
+        SELECT p.doc_id, count(*)::BIGINT AS n_lines, count(gone.pos)::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY p.pos) FILTER (WHERE gone.pos IS NULL), '')) AS kept_sha256
+        FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.pos = gone.pos GROUP BY p.doc_id
+    """,
     "op8_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
