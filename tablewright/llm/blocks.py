@@ -18,12 +18,16 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: A byte that UTF-8 never has.
+APART = 255
+
+
 def split_table(delimiters: bytes, lower: bool) -> np.ndarray:
-    """For every byte: 0 if it parts words, else the byte itself (A-Z as a-z if ``lower``)."""
+    """For every byte: APART if it parts words, else the byte itself (A-Z as a-z if ``lower``)."""
     table = np.arange(256, dtype=np.uint8)
     if lower:
         table[65:91] += 32
-    table[list(delimiters)] = 0
+    table[list(delimiters)] = APART
     return table
 
 
@@ -93,6 +97,16 @@ class Block:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts), np.diff(self.word_at))
 
+    def sums(self, flags: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are flagged."""
+        total = np.append(0, np.cumsum(flags, dtype=np.int64))
+        return np.diff(total[self.offsets])
+
+    def word_sums(self, flags: np.ndarray) -> np.ndarray:
+        """How many words of each text are flagged."""
+        total = np.append(0, np.cumsum(flags, dtype=np.int64))
+        return np.diff(total[self.word_at])
+
     def word(self, i: int) -> bytes:
         return self.symbols[self.starts[i] : self.ends[i]].tobytes()
 
@@ -111,7 +125,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def block_of(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, first: int = 0) -> Block:
     symbols = table[raw]
     n = len(symbols)
-    inside = symbols != 0
+    inside = symbols != APART
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.zeros(n + 1, bool)
