@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, linededup, packing, quality, simhash, urlfilter, warc
+from tablewright.llm import decontaminate, langid, linededup, packing, quality, simhash, urlfilter, warc
+
+from tablewright.llm.shared import crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = crc_fold(F.col("doc_id"), 5)
+    found = langid.label(docs, F.col("doc_id"), F.col("text"), langid.fit(docs, F.col("text"), F.col("lang"), fold != 0))
+    return found.select(F.col("key").alias("doc_id"), (crc_fold(F.col("key"), 5) == 0).alias("held_out"), "lang_pred", "score", "other_words")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -63,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
