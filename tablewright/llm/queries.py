@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, langid, linededup, packing, quality, simhash, urlfilter, warc
+from tablewright.llm import decontaminate, langid, linededup, packing, quality, secrets, simhash, urlfilter, warc
 
 from tablewright.llm.shared import crc_fold
 
@@ -43,6 +43,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    network = secrets.train(*secrets.findings())
+    return secrets.scan(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), network).withColumnRenamed("key", "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = simhash.classes(docs, F.col("doc_id"), F.col("text"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
+    "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
