@@ -96,6 +96,8 @@ def _search(block: blocks.Block, found: Phrases) -> tuple[np.ndarray, np.ndarray
     index = FMIndex(text, int(len(found.vocabulary) + 2).bit_length())
     low, high = index.ranges(found.windows, found.lengths)
     some = np.flatnonzero(low < high)
+    if not len(some):
+        return mark[:n] > 0, np.empty(0, np.int64), np.empty(0, np.int64)
     sums = np.append(0, np.cumsum(high[some] - low[some]))
     pairs = []
     text_of = block.text_of_word()
