@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, langid, linededup, packing, quality, secrets, simhash, urlfilter, warc
+from tablewright.llm import decontaminate, langid, linededup, maxent, packing, quality, secrets, simhash, urlfilter, warc
 
 from tablewright.llm.shared import crc_fold
 
@@ -73,6 +73,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_copies(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), digest.alias("kept_sha256"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_fold(F.col("doc_id"), 7) == 2
+    found = maxent.score(docs, F.col("doc_id"), F.col("text"), ~held)
+    return found.withColumnRenamed("key", "doc_id").withColumn("held_out", held)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
