@@ -94,14 +94,15 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "
         mine = runs.where(F.col("k") == k).withColumn("e", F.col("s") + F.col("m"))
         named = mine.join(at_start, ["i", "t", "s"]).join(at_end, ["i", "t", "e"]).select("i", "t", "s", "e", "m", "a", "b") if k else mine.join(at_start, ["i", "t", "s"]).select("i", "t", "s", "e", "m", "a", F.col("a").alias("b"))
         first = named.groupBy("m", "a", "b").agg(F.min(F.struct("i", "t", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        later = named.join(first, ["m", "a", "b"]).where(F.struct("i", "t", "s") != F.col("first")).select("i", "t", "s", "e")
+        # each level is computed once, so that no plan holds the joins of all levels
+        later = cut(named.join(first, ["m", "a", "b"]).where(F.struct("i", "t", "s") != F.col("first")).select("i", "t", "s", "e"))
         gone = later if gone is None else gone.unionAll(later)
     if gone is None:
         gone = runs.select("i", "t", "s", F.col("m").alias("e"))
     row = Window.partitionBy(*_DOC).orderBy("s", "e")
     reach = gone.distinct().withColumn("reach", F.max("e").over(row.rowsBetween(Window.unboundedPreceding, -1)))
     island = reach.withColumn("island", F.sum(F.when(F.col("reach") >= F.col("s"), 0).otherwise(1)).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = island.groupBy(*_DOC, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    merged = cut(island.groupBy(*_DOC, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")))
     return merged.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("gone"))
 
 
