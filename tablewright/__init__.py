@@ -1,0 +1,14 @@
+"""A Spark-native toolkit for exploring tables: guarded SQL, profiles, lineage, previews and decision-tree insight."""
+
+from importlib import import_module
+
+_PLACES = {"DataFrameToolkit": "tablewright.agent.toolkit", "DecisionTreeModule": "tablewright.agent.insight", "ToolModule": "tablewright.agent.tools", "enable_logging": "tablewright.agent.logs"}
+
+__all__ = ["DataFrameToolkit", "DecisionTreeModule", "ToolModule", "enable_logging"]  # noqa: F822
+
+
+def __getattr__(name: str) -> object:
+    """Import on first use, so that executors load only what their tasks need."""
+    if name in _PLACES:
+        return getattr(import_module(_PLACES[name]), name)
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
