@@ -36,7 +36,7 @@ STEP = 0.15
 DECAY = 1e-5
 #: Words of a chain when texts are labelled; longer texts are chains one after the other.
 LABEL_CHAIN = 128
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 UNKNOWN = "und"
 
 _TABLE = blocks.split_table(blocks.BLANKS, lower=False)
