@@ -114,10 +114,10 @@ class LevelPacker:
     def place(self, length: int) -> tuple[int, int]:
         """(sequence, offset) for a piece of 1 .. size - 1 ids."""
         count, size = self.count, self.size
-        # change of the sum of squares, halved: level h loses a sequence, level h + length gains one
-        change = count[length : size + 1] - count[: size + 1 - length] + 1
-        change[0] = count[length] + (length < size)  # a new sequence loses none
-        change[size - length] = 1 - count[size - length]  # a full one is no longer counted
+        # change of the sum of squares: level h loses a sequence, level h + length gains one
+        change = 2 * (count[length : size + 1] - count[: size + 1 - length] + 1)
+        change[0] = 2 * count[length] + 1  # a new sequence leaves no level
+        change[size - length] = 1 - 2 * count[size - length]  # a full one comes to no level
         change[1:][count[1 : size + 1 - length] == 0] = np.iinfo(np.int64).max
         best = change.min()
         level = len(change) - 1 - int(np.argmin(change[::-1] != best))  # of equals, the fullest
