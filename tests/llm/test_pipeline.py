@@ -22,7 +22,7 @@ def test_stages_keep_clean_documents_and_columns(spark, tmp_path, prose, odd):
     passage = sentence("en", 900, 70)
     item = sentence("de", 901, 30)
     planted = [(300, passage, "en", "s", 1), (301, sentence("en", 902) + "\n" + passage, "en", "s", 1), (302, sentence("fr", 903, 20) + " " + item, "fr", "s", 1), (303, "1234 5678", "en", "s", 1)]
-    near = [(400 + i, sentence("fr", 904, 400).replace(" ", "  ", i), "fr", "s", 1) for i in range(2)]
+    near = [(400 + i, sentence("fr", 904, 400).replace(" ", " " * (i + 1)), "fr", "s", 1) for i in range(2)]
     docs = prose.unionAll(spark.createDataFrame(planted + near, prose.schema)).withColumn("extra", F.lit("x"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
