@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.shared import cut
+from tablewright.llm.shared import cut, unplaced
 
 #: Words that a repeated run of lines must have.
 MIN_WORDS = 50
@@ -80,7 +80,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "
     document of smaller id (of equal id: of smaller text hash), or further up in the same one, where the two may overlap.
     """
     lines = _lines(docs, id_column, text_name)
-    often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"))
+    often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(unplaced(F.col("h")).alias("h2"))
     marked = cut(lines.join(often, F.col("h") == F.col("h2"), "left").select(*_DOC, "pos", "h", "w", F.col("h2").isNotNull().alias("again")))
     runs = cut(_least_runs(marked, min_words).withColumn("k", F.floor(F.log2("m")).cast("int")))
     most = runs.agg(F.max("k")).first()[0]
@@ -93,9 +93,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "
         at_end = ranks.select("i", "t", (F.col("pos") + (1 << k)).alias("e"), F.col("r").alias("b"))
         mine = runs.where(F.col("k") == k).withColumn("e", F.col("s") + F.col("m"))
         named = mine.join(at_start, ["i", "t", "s"]).join(at_end, ["i", "t", "e"]).select("i", "t", "s", "e", "m", "a", "b") if k else mine.join(at_start, ["i", "t", "s"]).select("i", "t", "s", "e", "m", "a", F.col("a").alias("b"))
-        first = named.groupBy("m", "a", "b").agg(F.min(F.struct("i", "t", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        first = named.groupBy("m", "a", "b").agg(F.min(F.struct("i", "t", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("m").alias("fm"), unplaced(F.col("a")).alias("fa"), unplaced(F.col("b")).alias("fb"), "first")
         # each level is computed once, so that no plan holds the joins of all levels
-        later = cut(named.join(first, ["m", "a", "b"]).where(F.struct("i", "t", "s") != F.col("first")).select("i", "t", "s", "e"))
+        later = cut(named.join(first, (F.col("m") == F.col("fm")) & (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where(F.struct("i", "t", "s") != F.col("first")).select("i", "t", "s", "e"))
         gone = later if gone is None else gone.unionAll(later)
     if gone is None:
         gone = runs.select("i", "t", "s", F.col("m").alias("e"))

@@ -44,6 +44,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def unplaced(number: Column) -> Column:
+    """The same whole number, by an expression through which Spark does not follow a partitioning.
+
+    A join on it exchanges both sides, and only then can Spark split the rows of a hot key among tasks; otherwise the side that
+    was grouped by the key stays where it is.
+    """
+    return number.bitwiseXOR(F.lit(0).cast("bigint"))
+
+
 def bernoulli(key: Column, seed: int, fraction: float) -> Column:
     """True for about ``fraction`` of the distinct keys, the same ones on every run."""
     bucket = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(SAMPLE_BUCKETS))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import blocks
 from tablewright.llm.components import components
-from tablewright.llm.shared import cut, map_arrow, text_column
+from tablewright.llm.shared import cut, map_arrow, text_column, unplaced
 
 BITS = 64
 WORDS = 3
@@ -233,9 +233,9 @@ def classes(docs: DataFrame, key: Column, text: Column, budget: int = BUDGET, si
     distinct = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
     found = components(links(distinct.select("fp"), budget, limit))
     members = found.join(distinct, found["u"] == distinct["fp"]).select("fp", "root", "least")
-    least = members.groupBy("root").agg(F.min("least").alias("whole")).select(F.col("root").alias("top"), "whole")
+    least = members.groupBy("root").agg(F.min("least").alias("whole")).select(unplaced(F.col("root")).alias("top"), "whole")
     told = members.join(least, F.col("root") == F.col("top")).select(F.col("fp").alias("member"), "whole")
-    each = distinct.join(told, F.col("fp") == F.col("member"), "left").select(F.col("fp").alias("of"), F.coalesce("whole", "least").alias("least"))
+    each = distinct.join(told, F.col("fp") == F.col("member"), "left").select(unplaced(F.col("fp")).alias("of"), F.coalesce("whole", "least").alias("least"))
     return rows.join(each, F.col("fp") == F.col("of")).select("key", "fp", "least")
 
 

@@ -179,7 +179,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         .groupBy("sha1")
         .agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and kept is not null")
-        .select(F.col("sha1").alias("copy_sha1"), "kept")
+        .select(F.substring("sha1", 1, 40).alias("copy_sha1"), "kept")  # by an expression, so that both sides are exchanged and a hot digest can be split
     )
     told = rows.join(copies, rows["sha1"] == copies["copy_sha1"], "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")), F.col("kept"))
