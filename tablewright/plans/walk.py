@@ -1,4 +1,4 @@
-"""Spark's parsed plans as plain Python: the only module that reaches into the JVM."""
+"""Spark's parsed plans as plain Python, read from the JVM."""
 
 from __future__ import annotations
 

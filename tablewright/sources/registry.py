@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.sources.frames import is_deterministic, is_file_scan
 from tablewright.sources.models import DataFrameReference, is_table_id
 
 #: Holds each row's place; views and users never see it.
@@ -35,20 +36,25 @@ SQL_SETTINGS = {"spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.ans
 
 
 class Snapshot:
-    """A frame as it was when registered: kept in memory and on disk, with its rows numbered for previews.
+    """A frame as it was when registered, with its rows numbered for previews.
 
-    A plan that may give other rows when it runs again is written to the checkpoint folder, where the session has one, so that
-    a lost executor cannot change it.
+    Rows of a file scan stay in their files, whatever their size, and keep column pruning and pushed filters. All else is
+    kept in memory and on disk. A plan that may give other rows when it runs again is written to the checkpoint
+    folder first, where the session has one, so that a lost executor cannot change it.
     """
 
-    def __init__(self, frame: DataFrame) -> None:
-        if not frame._jdf.queryExecution().analyzed().deterministic() and frame.sparkSession.sparkContext.getCheckpointDir():
+    def __init__(self, frame: DataFrame, keep: bool | None = None) -> None:
+        if not is_deterministic(frame) and frame.sparkSession.sparkContext.getCheckpointDir():
             frame = frame.checkpoint()
-        self.numbered = frame.withColumn(ROW, F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept = not is_file_scan(frame) if keep is None else keep
+        self.numbered = frame.withColumn(ROW, F.monotonically_increasing_id())
+        if self.kept:
+            self.numbered = self.numbered.persist(StorageLevel.MEMORY_AND_DISK)
         self.frame = self.numbered.drop(ROW)
 
     def release(self) -> None:
-        self.numbered.unpersist()
+        if self.kept:
+            self.numbered.unpersist()
 
 
 class DataFrameContext:

@@ -247,6 +247,19 @@ def test_logging_is_silent_until_enabled(kit):
     assert "TOOL_CALL list_dataframes" in out.getvalue() and logger.disabled and logging.getLevelName(25) == "TOOL_CALL"
 
 
+def test_file_scans_stay_in_their_files(kit, people, tmp_path, spark):
+    people.write.parquet(str(tmp_path / "people"))
+    files = spark.read.parquet(str(tmp_path / "people"))
+    base = kit.register_dataframe("files", files.where("score > 60").select("id", "score"))
+    other = kit.register_dataframe("grouped", files.groupBy("name").count())
+    snapshot = kit._registry.context.snapshot
+    assert not snapshot(base.id).kept and snapshot(other.id).kept
+    plan = kit.get_dataframe("files").where("score > 90").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(score,90)" in plan and "InMemoryTableScan" not in plan
+    assert kit.execute_sql(query=f"SELECT max(score) AS m FROM {base.id}", result_name="m").num_rows == 1
+    assert len(kit.view_as_markdown_table(identifier="files").split("\n")) == 6
+
+
 def test_stream_batches_become_tables(kit, spark, tmp_path):
     from tablewright.streaming.replay import register_batches
 
