@@ -26,7 +26,7 @@ from tablewright.llm.shared import map_arrow, text_column
 SEQUENCE = 1024
 END_ID = 0
 #: Chunks of text whose ids a worker remembers.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Sequence numbers of a partition begin at its number times this.
 PARTITION_STRIDE = 1 << 36

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -59,6 +62,14 @@ def bernoulli(key: Column, seed: int, fraction: float) -> Column:
     return bucket < F.lit(int(min(1.0, max(0.0, fraction)) * SAMPLE_BUCKETS))
 
 
+def release_memory() -> None:
+    """Return freed memory to the system, as far as the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once for each application: nothing need be installed there."""
     context = spark.sparkContext
@@ -78,9 +89,19 @@ def map_arrow(
     step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | T.StructType,
 ) -> DataFrame:
-    """``step`` over the Arrow batches of every partition, with this package's code at hand."""
+    """``step`` over the Arrow batches of every partition, with this package's code at hand.
+
+    Python workers outlive their tasks, so each task gives back what the allocators hold when it ends.
+    """
     ship(frame.sparkSession)
-    return frame.mapInArrow(step, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            release_memory()
+
+    return frame.mapInArrow(run, schema)
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
