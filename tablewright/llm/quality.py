@@ -14,19 +14,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablewright.llm import blocks
-from tablewright.llm.shared import cut, map_arrow, text_column
+from tablewright.llm.shared import map_arrow, text_column
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Per cent of words in repeated windows above which a text fails.
 MOST_REPEATED = 50
 REPEAT_WINDOW = 3
-#: Languages with references, at most, common words of each, and documents of each from which these words are picked.
-LANGUAGES = 32
+#: Common words of a language.
 COMMON_WORDS = 64
-SAMPLE_DOCS = 500
+#: Cells of histograms that are made at once.
+CELLS = 1 << 21
 #: Texts with fewer characters or words aren't judged by the histogram of these.
 MIN_CHARS = 200
 MIN_HISTOGRAM_WORDS = 50
@@ -113,17 +114,25 @@ def failed(found: dict[str, np.ndarray]) -> np.ndarray:
     return (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MOST_REPEATED * found["n_words"])
 
 
-def histograms(block: blocks.Block, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of character classes and of common words (then all others), a row per text."""
-    kinds = len(CLASSES) + 1
-    code = np.repeat(np.arange(block.texts) * kinds, np.diff(block.offsets)) + class_table()[block.raw]
-    chars = np.bincount(code, minlength=block.texts * kinds).reshape(block.texts, kinds)[:, :-1]
+def histograms(block: blocks.Block, hashes: np.ndarray, words: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of character classes and of common words (then all others), a row for each text from ``first`` to ``last``."""
+    last = block.texts if last is None else last
+    texts, kinds, width = last - first, len(CLASSES) + 1, len(words) + 1
+    sizes = np.diff(block.offsets[first : last + 1])
+    code = np.repeat(np.arange(texts) * kinds, sizes) + class_table()[block.raw[block.offsets[first] : block.offsets[last]]]
+    chars = np.bincount(code, minlength=texts * kinds).reshape(texts, kinds)[:, :-1]
+    hashes = hashes[block.word_at[first] : block.word_at[last]]
     at = np.searchsorted(words, hashes)
     at[at == len(words)] = 0
     slot = np.where(words[at] == hashes, at, len(words)) if len(words) else np.zeros(len(hashes), np.int64)
-    width = len(words) + 1
-    code = block.text_of_word() * width + slot
-    return chars, np.bincount(code, minlength=block.texts * width).reshape(block.texts, width)
+    code = np.repeat(np.arange(texts), np.diff(block.word_at[first : last + 1])) * width + slot
+    return chars, np.bincount(code, minlength=texts * width).reshape(texts, width)
+
+
+def _stretches(texts: int, width: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a block's texts whose histograms have about CELLS cells."""
+    step = max(1, CELLS // width)
+    return ((i, min(texts, i + step)) for i in range(0, texts, step))
 
 
 def distances(rows: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -142,52 +151,55 @@ def distances(rows: np.ndarray, shares: np.ndarray) -> np.ndarray:
 _TABLE = blocks.split_table(blocks.BLANKS, lower=False)
 
 
-def _common_words(docs: DataFrame, languages: dict[str, int], sample: int, most: int) -> np.ndarray:
-    share = F.lit(0.0)
-    for language, n in languages.items():
-        share = F.when(F.col("lang") == language, min(1.0, sample / n)).otherwise(share)
-    bucket = F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = docs.where(bucket < share).select("lang", "text")
+def _common_words(docs: DataFrame, most: int) -> np.ndarray:
+    """The ``most`` most frequent words of every language, from exact counts over all documents."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], int] = {}
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            names = batch.column(0).dictionary_encode()
+            place = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            held = [np.empty((3, 0), np.int64)]
             for block in blocks.blocks(text_column(batch, "text"), _TABLE):
-                for name in set(names[block.first : block.first + block.texts]):
-                    mine = np.repeat([x == name for x in names[block.first : block.first + block.texts]], np.diff(block.word_at))
-                    for h, c in zip(*(x.tolist() for x in np.unique(block.hashes()[mine], return_counts=True))):
-                        total[name, h] = total.get((name, h), 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array(np.array([k[1] for k in total], np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["lang", "h", "n"])
-
-    sums = cut(map_arrow(drawn, step, "lang string, h bigint, n bigint").groupBy("lang", "h").agg(F.sum("n").alias("n")))
-    found: set[int] = set()
-    for language in languages:
-        found |= {r["h"] for r in sums.where(F.col("lang") == language).orderBy(F.desc("n"), "h").limit(most).collect()}
-    return np.unique(np.array(sorted(found), np.int64).view(np.uint64))
-
-
-def fit(docs: DataFrame, text: Column, lang: Column, languages: int = LANGUAGES, common_words: int = COMMON_WORDS, sample: int = SAMPLE_DOCS) -> References:
-    """References of the ``languages`` most frequent languages. Which words are common is learned from about
-    ``sample`` documents of each; the histograms are over all documents."""
+                of = np.repeat(place[block.first : block.first + block.texts], np.diff(block.word_at))
+                hashes = block.hashes().view(np.int64)
+                order = np.lexsort((hashes, of))
+                of, hashes = of[order], hashes[order]
+                first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1]))[: len(of)])
+                held.append(np.stack([of[first], hashes[first], np.diff(np.append(first, len(of)))]))
+            of, hashes, n = np.concatenate(held, axis=1)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(of)), pa.array(hashes), pa.array(n)], ["lang", "h", "n"])
+
+    sums = map_arrow(docs.select("lang", "text"), step, "lang string, h bigint, n bigint").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))
+    found = sums.withColumn("rank", rank).where(F.col("rank") <= most).select("h").distinct().collect()
+    return np.unique(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+
+
+def fit(docs: DataFrame, text: Column, lang: Column, common_words: int = COMMON_WORDS) -> References:
+    """References of all languages: common words and histograms are over all documents."""
     rows = docs.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).where("lang is not null and text is not null")
-    frequent = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    words = _common_words(rows, frequent, sample, common_words) if frequent else np.empty(0, np.uint64)
-    names = list(frequent)
+    names = [r["lang"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    words = _common_words(rows, common_words) if names else np.empty(0, np.uint64)
     width = len(CLASSES) + len(words) + 1
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), width), np.int64)
         place = {x: i for i, x in enumerate(names)}
         for batch in batches:
             of = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            codes, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for block in blocks.blocks(text_column(batch, "text"), _TABLE):
                 hashes = block.hashes()
                 mine = of[block.first : block.first + block.texts]
                 good = (mine >= 0) & ~failed(counts(block, hashes))
-                np.add.at(total, mine[good], np.hstack(histograms(block, hashes, words))[good])
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "n"])
+                for a, b in _stretches(block.texts, width):
+                    found = np.hstack(histograms(block, hashes, words, a, b))[good[a:b]]
+                    i, j = np.nonzero(found)
+                    codes.append(mine[a:b][good[a:b]][i] * width + j)
+                    sizes.append(found[i, j])
+            code, at = np.unique(np.concatenate(codes), return_inverse=True)
+            n = np.zeros(len(code), np.int64)
+            np.add.at(n, at, np.concatenate(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(code // width), pa.array(code % width), pa.array(n)], ["i", "j", "n"])
 
     table = np.zeros((len(names), width))
     if names:
@@ -218,12 +230,14 @@ def judge(docs: DataFrame, key: Column, text: Column, references: References, mo
                 bad = failed(found)
                 char = word = np.full(block.texts, np.nan)
                 if known.languages:
-                    chars, words = histograms(block, hashes, known.words)
-                    a, b = distances(chars, known.char_shares), distances(words, known.word_shares)
-                    nearest = np.argmin(a + b, axis=1)
-                    pick = np.arange(block.texts)
-                    char = np.where(chars.sum(axis=1) >= MIN_CHARS, a[pick, nearest], np.nan)
-                    word = np.where(found["n_words"] >= MIN_HISTOGRAM_WORDS, b[pick, nearest], np.nan)
+                    char, word = char.copy(), word.copy()
+                    for i, j in _stretches(block.texts, len(known.words) + 1):
+                        chars, words = histograms(block, hashes, known.words, i, j)
+                        a, b = distances(chars, known.char_shares), distances(words, known.word_shares)
+                        nearest = np.argmin(a + b, axis=1)
+                        pick = np.arange(j - i)
+                        char[i:j] = np.where(chars.sum(axis=1) >= MIN_CHARS, a[pick, nearest], np.nan)
+                        word[i:j] = np.where(found["n_words"][i:j] >= MIN_HISTOGRAM_WORDS, b[pick, nearest], np.nan)
                 far = (np.nan_to_num(char) > most_char) | (np.nan_to_num(word) > most_word)
                 parts.append([*found.values(), bad, ~bad & ~far, char, word])
             columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64)] * 5 + [np.empty(0, bool)] * 2 + [np.empty(0)] * 2
