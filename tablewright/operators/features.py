@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import as_number, is_instant, is_numeric, named
+from tablewright.operators.order import running
 
 #: Fixed values.
 MOST_DISTINCT_SHARE = 0.9
 CLASSES_AT_MOST = 20
 CLASSES_BELOW_SHARE = 0.05
-#: Categories of one feature whose labels are brought to the driver.
-MOST_CATEGORIES = 10_000
 NULL_LABEL = "None"
 
 
@@ -50,8 +49,6 @@ def filter_features(frame: DataFrame, columns: Sequence[str]) -> tuple[list[str]
             excluded[c] = "single unique value"
         elif kinds[c] == "categorical" and unique / row["n"] > MOST_DISTINCT_SHARE:
             excluded[c] = "high cardinality: likely unique identifier"
-        elif kinds[c] == "categorical" and unique > MOST_CATEGORIES:
-            excluded[c] = f"more than {MOST_CATEGORIES} categories"
     return [c for c in columns if c not in excluded], {c: excluded[c] for c in columns if c in excluded}
 
 
@@ -71,10 +68,17 @@ def infer_task(frame: DataFrame, target: str, override: str | None = None) -> st
 
 @dataclass
 class Encoder:
-    """A feature as a double: labels by their place in ``labels``, null labels last; other nulls stay null."""
+    """A feature as a double: labels by their place in order, null labels last; other nulls stay null.
+
+    ``codes`` are the rows (label, code) of a feature of labels.
+    """
 
     column: str
-    labels: list[str] | None = None
+    codes: DataFrame | None = None
+
+    def labels(self) -> list[str]:
+        """All labels in order, for rules that name them."""
+        return [r["label"] for r in self.codes.orderBy("code").collect()]
 
 
 def encoders(frame: DataFrame, columns: Sequence[str]) -> list[Encoder]:
@@ -83,18 +87,23 @@ def encoders(frame: DataFrame, columns: Sequence[str]) -> list[Encoder]:
         if kind_of(frame.schema[c].dataType) != "categorical":
             found.append(Encoder(c))
             continue
-        labels = [r[0] for r in frame.select(named(c).alias("x")).distinct().orderBy(F.col("x").asc_nulls_last()).limit(MOST_CATEGORIES + 1).collect()]
-        found.append(Encoder(c, [NULL_LABEL if x is None else x for x in labels if x is not None or NULL_LABEL not in labels]))
+        distinct = frame.select(named(c).alias("label")).distinct()
+        some = distinct.where("label is not null")
+        ranks = running(some.select(F.lit(0).alias("all"), "label", F.lit(1).cast("long").alias("one")), ["all"], "label", ["one"])
+        codes = ranks.select("label", (F.col("run_one") - 1).cast("double").alias("code"))
+        if some.count() < distinct.count() and some.where(F.col("label") == NULL_LABEL).isEmpty():
+            codes = codes.unionAll(some.agg(F.lit(NULL_LABEL).alias("label"), F.count(F.lit(1)).cast("double").alias("code")))
+        found.append(Encoder(c, codes.persist()))
     return found
 
 
 def encode(frame: DataFrame, coders: Sequence[Encoder]) -> DataFrame:
-    """``frame`` with columns x0, x1, ... for the features; labels meet their codes in a join of at most MOST_CATEGORIES rows."""
+    """``frame`` with columns x0, x1, ... for the features; labels meet their codes in a join."""
     out = frame
     for i, coder in enumerate(coders):
-        if coder.labels is None:
+        if coder.codes is None:
             out = out.withColumn(f"x{i}", as_number(named(coder.column), frame.schema[coder.column].dataType))
             continue
-        codes = frame.sparkSession.createDataFrame([(label, float(k)) for k, label in enumerate(coder.labels)], f"l{i} string, x{i} double")
-        out = out.join(F.broadcast(codes), F.coalesce(named(coder.column), F.lit(NULL_LABEL)) == F.col(f"l{i}"), "left").drop(f"l{i}")
+        codes = coder.codes.select(F.col("label").alias(f"l{i}"), F.col("code").alias(f"x{i}"))
+        out = out.join(codes, F.coalesce(named(coder.column), F.lit(NULL_LABEL)) == F.col(f"l{i}"), "left").drop(f"l{i}")
     return out

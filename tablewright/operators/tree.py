@@ -6,7 +6,7 @@ node totals the right one. What comes to the driver is one best split per node.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +22,8 @@ MAX_DEPTH = 6
 LEAF_FLOOR = 5
 LEAF_SHARE = 0.02
 THRESHOLD_PLACES = 4
-#: Classes of a target.
-MOST_CLASSES = 1_000
+#: Classes of a target that are summed as columns; more are summed as rows, with the same splits.
+CLASS_COLUMNS = 1_000
 LEAST_GAIN = 1e-9
 
 
@@ -82,41 +82,82 @@ def best_splits(rows: DataFrame, features: int, sums: Sequence[str], floor: int,
     grouped = mine.groupBy("node", "f", "v").agg(*(F.sum(s).alias(s) for s in stats)).persist()
     whole = grouped.groupBy("node", "f").agg(*(F.sum(s).alias(f"all_{s}") for s in stats), *(F.sum(F.when(F.col("v").isNull(), F.col(s)).otherwise(0)).alias(f"none_{s}") for s in stats))
     ordered = running(grouped.where("v is not null"), ["node", "f"], "v", stats).where("next_value is not null").join(whole, ["node", "f"])
-    options = []
-    for missing_left in (True, False):
+
+    def sides(missing_left: bool) -> tuple[Column, Column, Column]:
         left = {s: F.col(f"run_{s}") + (F.col(f"none_{s}") if missing_left else F.lit(0)) for s in stats}
         right = {s: F.col(f"all_{s}") - left[s] for s in stats}
         gain = _side([left[s] for s in sums], left["n"]) + _side([right[s] for s in sums], right["n"]) - _side([F.col(f"all_{s}") for s in sums], F.col("all_n"))
-        fits = (left["n"] >= floor) & (right["n"] >= floor) & (F.lit(missing_left) | (F.col("none_n") > 0))
+        return left["n"], right["n"], gain
+
+    best = _best(ordered, sides, floor)
+    grouped.unpersist()
+    return best
+
+
+def _best(ordered: DataFrame, sides: Callable[[bool], tuple[Column, Column, Column]], floor: int) -> dict[int, Split]:
+    """The best split of each node; ``sides`` tells the rows left and right and the gain, with missing values left or right."""
+    options = []
+    for missing_left in (True, False):
+        left, right, gain = sides(missing_left)
+        fits = (left >= floor) & (right >= floor) & (F.lit(missing_left) | (F.col("none_n") > 0))
         threshold = F.col("v") + (F.col("next_value") - F.col("v")) / 2
         options.append(F.when(fits, F.struct(F.round(gain, 9).alias("gain"), (-F.col("f")).alias("f"), (-threshold).alias("t"), F.lit(missing_left).alias("left"))))
     best = ordered.select("node", F.explode(F.array(*options)).alias("o")).where("o is not null").groupBy("node").agg(F.max("o").alias("o")).collect()
-    grouped.unpersist()
     return {r["node"]: Split(-r["o"]["f"], -r["o"]["t"], r["o"]["left"], r["o"]["gain"]) for r in best if r["o"]["gain"] > LEAST_GAIN}
 
 
+def best_class_splits(rows: DataFrame, features: int, floor: int, open_nodes: Sequence[int]) -> dict[int, Split]:
+    """As ``best_splits``, of rows (node, x0 .., n, class) with any number of classes.
+
+    Classes stay rows. With l, a and m the rows of a class left of a threshold, in all and missing, what Gini needs are
+    running sums of the growth of l * l, a * l and m * l.
+    """
+    explode = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("v")) for i in range(features))))
+    mine = rows.where(F.col("node").isin(list(open_nodes))).select("node", explode.alias("e"), "n", "class").select("node", "e.f", "e.v", "n", "class")
+    grouped = mine.groupBy("node", "f", "v", "class").agg(F.sum("n").alias("n")).persist()
+    each = grouped.groupBy("node", "f", "class").agg(F.sum("n").alias("a"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("m"))
+    product = lambda x, y: F.sum(F.col(x) * F.col(y))
+    whole = each.groupBy("node", "f").agg(F.sum("a").alias("all_n"), F.sum("m").alias("none_n"), product("a", "a").alias("aa"), product("a", "m").alias("am"), product("m", "m").alias("mm"))
+    own = running(grouped.where("v is not null"), ["node", "f", "class"], "v", ["n"]).join(each, ["node", "f", "class"])
+    growth = own.select("node", "f", "v", "n", (F.col("n") * (2 * F.col("run_n") - F.col("n"))).alias("ll"), (F.col("n") * F.col("a")).alias("al"), (F.col("n") * F.col("m")).alias("ml"))
+    stats = ["n", "ll", "al", "ml"]
+    ordered = running(growth.groupBy("node", "f", "v").agg(*(F.sum(s).alias(s) for s in stats)), ["node", "f"], "v", stats).where("next_value is not null").join(whole, ["node", "f"])
+
+    def sides(missing_left: bool) -> tuple[Column, Column, Column]:
+        n, ll, al = F.col("run_n"), F.col("run_ll"), F.col("run_al")
+        if missing_left:
+            n, ll, al = n + F.col("none_n"), ll + 2 * F.col("run_ml") + F.col("mm"), al + F.col("am")
+        rest = F.col("all_n") - n
+        return n, rest, ll / n + (F.col("aa") - 2 * al + ll) / rest - F.col("aa") / F.col("all_n")
+
+    best = _best(ordered, sides, floor)
+    grouped.unpersist()
+    return best
+
+
 def grow(rows: DataFrame, features: int, sums: Sequence[str], floor: int, max_depth: int) -> Tree:
-    """A tree over ``rows`` (x0 .., n, sums)."""
+    """A tree over ``rows`` (x0 .., n, sums), or without sums over (x0 .., n, class)."""
     tree, open_nodes = Tree(), [1]
     for _ in range(max_depth):
         if not open_nodes:
             break
-        found = best_splits(rows.withColumn("node", tree.node()), features, sums, floor, open_nodes)
+        told = rows.withColumn("node", tree.node())
+        found = best_splits(told, features, sums, floor, open_nodes) if sums else best_class_splits(told, features, floor, open_nodes)
         tree.splits.update(found)
         open_nodes = [child for n in found for child in (2 * n, 2 * n + 1)]
     return tree
 
 
-def _path(tree: Tree, coders: Sequence[Encoder], leaf: int) -> list[Predicate]:
+def _path(tree: Tree, coders: Sequence[Encoder], labels: dict[int, list[str]], leaf: int) -> list[Predicate]:
     found = []
     for depth in range(leaf.bit_length() - 1, 0, -1):
         node, child = leaf >> depth, leaf >> (depth - 1)
         split, left = tree.splits[node], child % 2 == 0
         coder = coders[split.feature]
-        if coder.labels is None:
+        if coder.codes is None:
             found.append(Predicate(variable=coder.column, operator="<=" if left else ">", value=round(split.threshold, THRESHOLD_PLACES)))
         else:
-            found.append(Predicate(variable=coder.column, operator="in", value={x for i, x in enumerate(coder.labels) if (i <= split.threshold) == left}))
+            found.append(Predicate(variable=coder.column, operator="in", value={x for i, x in enumerate(labels[split.feature]) if (i <= split.threshold) == left}))
     return simplify(found)
 
 
@@ -158,11 +199,12 @@ def analyze(frame: DataFrame, features: Sequence[str] | None, target: str, *, ta
     xs = [F.col(f"x{i}") for i in range(len(coders))]
     labels: list = []
     if task == "classification":
-        labels = [r[0] for r in clean.select(y.alias("y")).distinct().orderBy("y").limit(MOST_CLASSES + 1).collect()]
-        if len(labels) > MOST_CLASSES:
-            raise ValueError(f"target column {target!r} has more than {MOST_CLASSES} classes")
-        sums = [f"c{k}" for k in range(len(labels))]
-        values = [(y == F.lit(label)).cast("long").alias(s) for s, label in zip(sums, labels)]
+        if row["u"] <= CLASS_COLUMNS:
+            labels = [r[0] for r in clean.select(y.alias("y")).distinct().orderBy("y").collect()]
+            sums = [f"c{k}" for k in range(len(labels))]
+            values = [(y == F.lit(label)).cast("long").alias(s) for s, label in zip(sums, labels)]
+        else:
+            sums, values = [], [y.alias("class")]
     else:
         number = as_number(y, clean.schema[target].dataType)
         if number is None:
@@ -172,20 +214,32 @@ def analyze(frame: DataFrame, features: Sequence[str] | None, target: str, *, ta
     rows = encoded.select(*xs, F.lit(1).cast("long").alias("n"), *values).persist()
     try:
         tree = grow(rows, len(coders), sums, floor, max_depth)
-        leaf_aggs = [F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in sums), F.stddev_pop("c0").alias("std")]
-        leaves = {r["node"]: r for r in rows.groupBy(tree.node().alias("node")).agg(*leaf_aggs).collect()}
-        spread = rows.agg(F.stddev_pop("c0")).first()[0]
+        placed = rows.withColumn("node", tree.node())
+        if sums:
+            leaf_aggs = [F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in sums), F.stddev_pop("c0").alias("std")]
+            leaves = {r["node"]: r for r in placed.groupBy("node").agg(*leaf_aggs).collect()}
+            spread = rows.agg(F.stddev_pop("c0")).first()[0]
+        else:
+            counted = placed.groupBy("node", "class").agg(F.sum("n").alias("k"))
+            leaves = {r["node"]: r for r in counted.groupBy("node").agg(F.sum("k").alias("n"), F.min(F.struct(-F.col("k"), "class")).alias("top")).collect()}
     finally:
         rows.unpersist()
+    names = {f: coders[f].labels() for f in sorted({s.feature for s in tree.splits.values()}) if coders[f].codes is not None}
+    for coder in coders:
+        if coder.codes is not None:
+            coder.codes.unpersist()
     rules: list = []
     right = lost = 0.0
     for leaf in tree.leaves():
-        got, path = leaves[leaf], _path(tree, coders, leaf)
+        got, path = leaves[leaf], _path(tree, coders, names, leaf)
         if task == "classification":
-            counts = [got[s] for s in sums]
-            top = max(range(len(counts)), key=lambda k: (counts[k], -k))
-            right += counts[top]
-            rules.append(ClassificationRule(predicates=path, prediction=str(labels[top]), samples=got["n"], confidence=counts[top] / got["n"]))
+            if sums:
+                top = max(range(len(sums)), key=lambda k: (got[sums[k]], -k))
+                most, label = got[sums[top]], labels[top]
+            else:
+                most, label = -got["top"][0], got["top"][1]
+            right += most
+            rules.append(ClassificationRule(predicates=path, prediction=str(label), samples=got["n"], confidence=most / got["n"]))
         else:
             lost += got["n"] * got["std"] ** 2
             rules.append(RegressionRule(predicates=path, prediction=got["c0"] / got["n"] + mean, samples=got["n"], std=got["std"]))
