@@ -22,10 +22,9 @@ from tablewright.llm.shared import map_arrow, text_column
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 EDGE_ORDER = 5
-#: Languages that are learned at most, documents of each in the sample, and the longest text that is drawn.
-LANGUAGES = 64
+#: Distinct texts of each language in the sample, and the characters that are taken of a longer one.
 SAMPLE_DOCS = 200
-SAMPLE_BYTES = 1 << 16
+SAMPLE_CHARS = 1 << 15
 #: Words of the sample of each language, its lexicon, words of a training chain and of a stretch in it.
 SAMPLE_WORDS = 12_000
 LEXICON = 200
@@ -34,8 +33,10 @@ STRETCH = (3, 24)
 ROUNDS = 40
 STEP = 0.15
 DECAY = 1e-5
-#: Words of a chain when texts are labelled; longer texts are chains one after the other.
-LABEL_CHAIN = 128
+#: Words of a piece when texts are labelled; messages pass from piece to piece, so a text is one chain.
+PIECE = 128
+#: Up to so many labels a piece is summed up in a matrix; with more, the words of a text are walked one by one.
+MATRIX_LABELS = 8
 SHARD_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -100,11 +101,12 @@ def evidence(feature: np.ndarray, word: np.ndarray, n: int, weights: np.ndarray)
     return np.add.reduceat(weights[feature], np.searchsorted(word, np.arange(n)), axis=0) if n else np.zeros((0, weights.shape[1]))
 
 
-def forward_backward(scores: np.ndarray, chains: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs: bool = False):
+def forward_backward(scores: np.ndarray, chains: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs: bool = False, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
     """Label probabilities (T, chains, labels) of chains whose word numbers are columns of ``chains``.
 
     ``lengths`` must not increase. With ``pairs`` also the summed probabilities of neighbouring labels and the log
-    of the partition function.
+    of the partition function. ``enter`` and ``leave`` (chains, labels) are the messages that reach the first word of each chain
+    from before and the last from behind.
     """
     steps, n, k = chains.shape[0], chains.shape[1], scores.shape[1]
     top = scores.max(axis=1, keepdims=True)
@@ -116,12 +118,15 @@ def forward_backward(scores: np.ndarray, chains: np.ndarray, lengths: np.ndarray
         m = alive[t]
         if not m:
             break
-        a = local[chains[t, :m]] if t == 0 else (ahead[t - 1, :m] @ move) * local[chains[t, :m]]
+        if t:
+            a = (ahead[t - 1, :m] @ move) * local[chains[t, :m]]
+        else:
+            a = local[chains[t, :m]] if enter is None else local[chains[t, :m]] * enter[:m]
         scale = a.sum(axis=1, keepdims=True)
         ahead[t, :m] = a / scale
         if pairs:
             log_z += float(np.log(scale).sum() + top[chains[t, :m]].sum())
-    back = np.ones((n, k), scores.dtype)
+    back = np.ones((n, k), scores.dtype) if leave is None else leave.astype(scores.dtype)
     sums = np.zeros((k, k))
     for t in range(steps - 1, -1, -1):
         m, later = alive[t], alive[t + 1] if t + 1 < steps else 0
@@ -145,6 +150,48 @@ def chain_table(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.where(t < length, first + t, 0)
 
 
+def _messages(scores: np.ndarray, chains: np.ndarray, length: np.ndarray, moves: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages that enter and leave each piece (a column of ``chains``), ``piece`` being its number within its text.
+
+    The matrix of a piece carries a message through it. The pieces' own matrices are worked out side by side, then
+    messages go from piece to piece, side by side for all texts. Pieces of a text follow each other.
+    """
+    k, n = scores.shape[1], chains.shape[1]
+    local, move = np.exp(scores - scores.max(axis=1, keepdims=True)), np.exp(moves)
+    through = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+    for t in range(chains.shape[0]):
+        on = np.flatnonzero(length > t)
+        x = (through[on] @ move) * local[chains[t, on]][:, None, :]
+        through[on] = x / x.sum(axis=(1, 2), keepdims=True)
+    enter, leave = np.ones((n, k)), np.ones((n, k))
+    first = np.flatnonzero(piece == 0)
+    sizes = np.diff(np.append(first, n))
+    ahead = np.empty((n, k))  # the message at the end of each piece
+    for p in range(int(sizes.max()) if n else 0):
+        at = first[sizes > p] + p
+        if p:
+            enter[at] = ahead[at - 1] @ move
+            x = (ahead[at - 1][:, None, :] @ through[at])[:, 0]
+        else:  # no move leads to a text's first word
+            x = _first_piece(local, chains[:, at], length[at], move)
+        ahead[at] = x / x.sum(axis=1, keepdims=True)
+    for p in range(int(sizes.max()) - 1 if n else 0):
+        at = first[sizes > p + 1] + sizes[sizes > p + 1] - 1 - p
+        x = (through[at] @ leave[at][:, :, None])[:, :, 0]
+        leave[at - 1] = x / x.sum(axis=1, keepdims=True)
+    return enter, leave
+
+
+def _first_piece(local: np.ndarray, chains: np.ndarray, length: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The message at the end of chains that begin a text."""
+    a = local[chains[0]].astype(float)
+    for t in range(1, chains.shape[0]):
+        on = np.flatnonzero(length > t)
+        x = (a[on] @ move) * local[chains[t, on]]
+        a[on] = x / x.sum(axis=1, keepdims=True)
+    return a
+
+
 def train(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Model:
     """A model from (language, text) pairs, by full-batch gradient steps on the likelihood of switched chains."""
     names = sorted({x for x, _ in texts})
@@ -222,22 +269,28 @@ def label_block(block: blocks.Block, model: Model) -> tuple[np.ndarray, np.ndarr
     sums = np.append(0, np.cumsum(_WIDE[block.raw], dtype=np.int64))
     lettered = (sums[ends] > sums[starts])[number]
     counts = np.diff(block.word_at)
-    pieces = -(-counts // LABEL_CHAIN)
+    size = PIECE if k <= MATRIX_LABELS else max(1, int(counts.max()))
+    pieces = -(-counts // size)
     text = np.repeat(np.arange(block.texts), pieces)
     piece = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    first = block.word_at[text] + piece * LABEL_CHAIN
-    length = np.minimum(LABEL_CHAIN, block.word_at[text + 1] - first)
+    first = block.word_at[text] + piece * size
+    length = np.minimum(size, block.word_at[text + 1] - first)
+    enter, leave = np.ones((len(first), k)), np.ones((len(first), k))
+    split = np.flatnonzero(pieces[text] > 1)
+    if len(split):
+        enter[split], leave[split] = _messages(scores, number[chain_table(first[split], length[split])], length[split], model.moves, piece[split])
     order = np.argsort(-length, kind="stable")
-    first, length, text = first[order], length[order], text[order]
-    chains = chain_table(first, length)
-    probability = forward_backward(scores, number[chains], length, model.moves)
-    valid = (np.arange(chains.shape[0])[:, None] < length) & lettered[chains]
-    probability *= valid[..., None]
-    np.add.at(share, text, probability.sum(axis=0))
-    top = np.argmax(probability, axis=2)
-    for j in range(k):
-        np.add.at(best[:, j], text, ((top == j) & valid).sum(axis=0))
-    np.add.at(counted, text, valid.sum(axis=0))
+    # chains of like lengths together, so that a table is at most twice as large as its words
+    for at in np.split(order, np.flatnonzero(np.diff(np.frexp(length[order])[1])) + 1):
+        chains = chain_table(first[at], length[at])
+        probability = forward_backward(scores, number[chains], length[at], model.moves, enter=enter[at], leave=leave[at])
+        valid = (np.arange(chains.shape[0])[:, None] < length[at]) & lettered[chains]
+        probability *= valid[..., None]
+        np.add.at(share, text[at], probability.sum(axis=0))
+        top = np.argmax(probability, axis=2)
+        for j in range(k):
+            np.add.at(best[:, j], text[at], ((top == j) & valid).sum(axis=0))
+        np.add.at(counted, text[at], valid.sum(axis=0))
     return share, best, counted
 
 
@@ -263,24 +316,24 @@ def predict(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.n
     return names, np.concatenate([*scores, np.empty(0)]), np.concatenate([*others, np.empty(0, np.int64)])
 
 
-def fit(docs: DataFrame, text: Column, lang: Column, usable: Column, sample: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> Model:
-    """A model learned from a bounded sample: about ``sample`` documents of each of the most frequent languages, of those that
-    are ``usable``, of a language that isn't null and at most SAMPLE_BYTES long. A hash of the text picks them."""
+def fit(docs: DataFrame, text: Column, lang: Column, usable: Column, sample: int = SAMPLE_DOCS) -> Model:
+    """A model of every language, learned from a bounded sample: the ``sample`` distinct texts of least hash of each
+    language, of rows that are ``usable`` and have a language and a text. Copies count once. Of a text of more than
+    SAMPLE_CHARS characters a stretch of so many is learned, from a place that the hash picks. The model grows with the languages.
+    """
     rows = docs.select(lang.cast("string").alias("lang"), text.cast("string").alias("text"), usable.alias("use")).where("use and lang is not null and text is not null")
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES)
-    frequent = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not frequent:
+    rows = rows.select("lang", "text", F.xxhash64(F.lit(4), "text").alias("h"))
+    distinct = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not distinct:
         return train([])
-    share = F.lit(0.0)
-    for name, n in frequent.items():
-        share = F.when(F.col("lang") == name, min(1.0, 1.5 * sample / n)).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(1 << 30)) / float(1 << 30) < share)
-    found: dict[str, list[str]] = {}
-    for r in drawn.select("lang", "text").distinct().orderBy(F.xxhash64(F.lit(4), "text")).limit(2 * sample * len(frequent)).collect():
-        mine = found.setdefault(r["lang"], [])
-        if len(mine) < sample:
-            mine.append(r["text"])
-    return train([(x, t) for x in sorted(found) for t in found[x]])
+    # half as many again, so that the sample is full although the counts are estimates
+    shares = F.map_from_arrays(F.array(*map(F.lit, distinct)), F.array(*(F.lit(min(1.0, 1.5 * sample / n)) for n in distinct.values())))
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.element_at(shares, F.col("lang")))
+    begin = 1 + F.pmod(F.shiftright("h", 30), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int")
+    found: dict[str, list[tuple[int, int, str]]] = {}
+    for r in drawn.select("lang", "h", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"]).collect():
+        found.setdefault(r["lang"], []).append((r["h"] % (1 << 30), r["h"], r["text"]))
+    return train([(x, t) for x in sorted(found) for _, _, t in sorted(found[x])[:sample]])
 
 
 RESULT = "lang_pred string, score double, other_words bigint"
@@ -289,7 +342,7 @@ RESULT = "lang_pred string, score double, other_words bigint"
 def label(docs: DataFrame, key: Column, text: Column, model: Model) -> DataFrame:
     """key and RESULT for every row: the language, ``und`` where a text is null or has no letter (score 0), the mean
     probability of that language over words with letters, and how many of these look like another one. Repeated rows
-    are labelled each."""
+    are labelled each. Of equally probable languages the first by name is told. Forward-backward runs over the whole text."""
     rows = docs.select(key.alias("key"), text.cast("string").alias("text"))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -303,9 +356,12 @@ def label(docs: DataFrame, key: Column, text: Column, model: Model) -> DataFrame
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text_name: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
+    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``.
+
+    Null texts and texts without letters go; repeated rows are judged each; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_name)
+    place = [c.lower() for c in docs.columns].index(text_name.lower())
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

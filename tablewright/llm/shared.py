@@ -25,13 +25,15 @@ SAMPLE_BUCKETS = 1 << 30
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local mode) a local folder is made and set.
+    Only in local mode, where that may be unset, a local folder is made and set; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="tablewright-")
             context.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import bernoulli, cut
+from tablewright.llm.shared import SAMPLE_BUCKETS, cut
 
 #: (verdict, host, path): fixed values.
 RULES = [
@@ -107,19 +107,22 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, samp
     """page_id, host, path, rule, verdict, p_block for every row of ``pages`` (page_id, url).
 
     Null urls and urls without ``://`` have empty host and path and get the model's verdict for these. The model is
-    fitted on about ``sample`` of the distinct urls that a rule decides (a hash of the url picks them); without any,
-    it allows. Repeated rows get the same answer each; an empty table gives no rows; other columns aren't read.
+    fitted on ``sample`` of the distinct urls that a rule decides, half of each verdict, those of least hash; copies count
+    once. Without any, it allows. Repeated rows get the same answer each; an empty table gives no rows; other columns aren't read.
     """
     # the parts are named in a select of their own, so that they are worked out once
     split = pages.select(pages["page_id"].alias("page_id"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     known = split.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("told"))
     decided = known.where("told is not null").select("host", "path", (F.col("told.verdict") == "block").cast("int").alias("target"))
-    counts = {r["target"]: r["n"] for r in decided.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    key = F.concat("host", F.lit("\n"), "path")
-    picked = [decided.where((F.col("target") == t) & bernoulli(key, 1, sample / 2 / n)) for t, n in sorted(counts.items())]
+    told = decided.withColumn("h", F.xxhash64(F.lit(1), F.concat("host", F.lit("\n"), "path")))
+    counts = {r["target"]: r["n"] for r in told.groupBy("target").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    picked = []
+    for target, n in sorted(counts.items()):
+        # half as many again as wanted, since the count is an estimate; then copies go and the least hashes stay
+        drawn = told.where((F.col("target") == target) & (F.pmod("h", F.lit(SAMPLE_BUCKETS)) < F.lit(int(min(1.0, 0.75 * sample / n) * SAMPLE_BUCKETS))))
+        picked.append(drawn.groupBy("host", "path", "h").agg(F.max("target").alias("target")).orderBy(F.pmod("h", F.lit(SAMPLE_BUCKETS)), "h").limit(sample // 2))
     if picked:
-        drawn = picked[0] if len(picked) == 1 else picked[0].unionAll(picked[1])
-        distinct = drawn.groupBy("host", "path").agg(F.max("target").alias("target"))
+        distinct = picked[0] if len(picked) == 1 else picked[0].unionAll(picked[1])
         weights = fit(distinct.select(features(F.col("host"), F.col("path"), buckets).alias("found"), "target"), buckets)
     else:
         weights = [0.0] * buckets + [-3.0]

@@ -5,13 +5,16 @@ import gzip
 import hashlib
 import io
 import json
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import sentence
 from pyspark.sql import functions as F
 
-from tablewright.llm import langid, warc
+from tablewright.llm import blocks, langid, warc
+from tablewright.llm.shared import crc_fold
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +98,62 @@ def test_normaliser_reads_any_split_into_members():
     with pytest.raises(EOFError):
         list(warc.normalise(io.BytesIO(gzip.compress(records[1][:-50])), io.BytesIO()))
     assert list(warc.normalise(io.BytesIO(gzip.compress(b"")), io.BytesIO())) == []
+
+
+def test_labels_of_a_long_text_are_those_of_one_chain(model):
+    words = np.random.default_rng(5).permutation((sentence("fr", 3, 4_000) + " " + sentence("de", 4, 4_000) + " " + sentence("en", 5, 2_000) + " 12 ?").split())
+    texts = pa.array([" ".join(words), "der fluss", "", sentence("en", 8, 300)])
+    block = blocks.block_of(*blocks.column_bytes(texts), langid._TABLE)
+    share, best, counted = langid.label_block(block, model)
+    _, index, number = np.unique(block.hashes(), return_index=True, return_inverse=True)
+    feature, word = langid.word_features(block.raw, block.starts[index], block.ends[index], model.lexicons)
+    scores = langid.evidence(feature, word, len(index), model.weights)
+    for d in range(len(texts)):
+        at = np.arange(block.word_at[d], block.word_at[d + 1])
+        if not len(at):
+            assert not share[d].any() and not counted[d]
+            continue
+        whole = langid.forward_backward(scores, number[at][:, None], np.array([len(at)]), model.moves)[:, 0]
+        lettered = np.array([any(c.isalpha() for c in block.word(i).decode()) for i in at])
+        assert counted[d] == lettered.sum() and np.allclose(share[d], whole[lettered].sum(axis=0), rtol=1e-4)
+        assert np.array_equal(best[d], np.bincount(whole[lettered].argmax(axis=1), minlength=3))
+
+
+def test_pieces_and_whole_texts_agree(model, monkeypatch):
+    texts = pa.array([sentence("fr", 3, 700) + " " + sentence("de", 4, 500), sentence("en", 8, 300)])
+    block = blocks.block_of(*blocks.column_bytes(texts), langid._TABLE)
+    pieces = langid.label_block(block, model)
+    monkeypatch.setattr(langid, "MATRIX_LABELS", 0)
+    for a, b in zip(pieces, langid.label_block(block, model)):
+        assert np.allclose(a, b, rtol=1e-4)
+
+
+def test_languages_of_long_texts_and_behind_copies_are_learned(spark, prose):
+    rows = [(1_000 + i, sentence("de", i, 16_000), "de") for i in range(6)] + [(2_000 + i, sentence("en", i), "en") for i in range(100)] + [(3_000 + i, sentence("fr", i), "fr") for i in range(30)]
+    copies = spark.range(100_000).select((F.col("id") + 10_000).alias("doc_id"), F.lit(sentence("fr", 77)).alias("text"), F.lit("fr").alias("lang"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionAll(copies)
+    many = langid.fit(docs, F.col("text"), F.col("lang"), F.lit(True))
+    assert many.languages == ["de", "en", "fr"]
+    got = langid.label(prose.where("doc_id < 30"), F.col("lang"), F.col("text"), many).collect()
+    assert all(r["lang_pred"] == r["key"] for r in got)
+
+
+def test_any_number_of_languages(spark):
+    rows = [(f"l{k:02}", " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in "abcdefghijkl" * 3)) for k in range(70)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.fit(frame, F.col("text"), F.col("lang"), F.lit(True))
+    assert len(model.languages) == 70
+    assert all(r["key"] == r["lang_pred"] for r in langid.label(frame, F.col("lang"), F.col("text"), model).collect())
+
+
+def test_text_column_of_another_case(spark, prose, model):
+    renamed = prose.withColumnRenamed("text", "Text")
+    assert langid.keep_known(renamed, model).columns == renamed.columns
+
+
+def test_folds_are_those_of_crc32(spark):
+    ids = [0, 1, -1, 12345678901, None, *range(100, 200)]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", crc_fold(F.col("doc_id"), 5).alias("five"), crc_fold(F.col("doc_id"), 7).alias("seven")).collect()
+    for r in rows:
+        x = 0 if r["doc_id"] is None else zlib.crc32(str(r["doc_id"]).encode())
+        assert (r["five"], r["seven"]) == (x % 5, x % 7)

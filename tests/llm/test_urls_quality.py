@@ -75,3 +75,57 @@ def test_without_references(spark, odd, empty):
     assert quality.judge(empty, F.col("doc_id"), F.col("text"), none).count() == 0
     p = np.array([[3.0, 1.0], [0.0, 0.0]])
     assert quality.distances(p, np.array([[0.75, 0.25]]))[0, 0] == pytest.approx(0, abs=1e-7)
+
+
+def _host_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3 :]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    return host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), path
+
+
+def _rule(host, path):
+    fits = [(verdict, name + start) for verdict, name, start in urlfilter.RULES if (host == name or host.endswith("." + name)) and path.startswith(start)]
+    return max(fits, key=lambda x: len(x[1])) if fits else (None, None)
+
+
+def test_urls_agree_with_brute_force(spark):
+    """Parts, rules, features and the gradient, one url after the other."""
+    words = ["a.org", "X.example.org", "b.com", "shop.net", "evil.net"]
+    urls = [u for u, *_ in URLS] + [f"http://{words[i % 5]}/{['es', 'en/1', 'fr', 'de', 'x'][i // 5 % 5]}/{i}?q" for i in range(200)]
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for i, url in enumerate(urls):
+        host, path = _host_path(url)
+        verdict, rule = _rule(host, path)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), url
+        assert got[i]["verdict"] == (verdict or ("block" if got[i]["p_block"] >= 0.5 else "allow"))
+    rows = spark.createDataFrame([("h.net", "/p"), ("", "")], "h string, p string")
+    found = rows.select(urlfilter.features(F.col("h"), F.col("p")).alias("f"), "h", "p").collect()
+    for r in found:
+        grams = {(k, t[i : i + n]) for k, t in (("host", f"^{r['h']}$"), ("path", f"^{r['p']}$")) for n in urlfilter.SIZES for i in range(max(1, len(t) - n + 1))}
+        want = {x["f"] for x in spark.createDataFrame(sorted(grams), "k string, g string").select(F.pmod(F.xxhash64("k", "g"), F.lit(urlfilter.BUCKETS)).alias("f")).collect()}
+        assert set(r["f"]) == want and len(r["f"]) == len(want)
+    # three steps of descent by hand
+    data = [([0, 2], 1), ([1], 0), ([2, 3, 1], 0), ([0], 1), ([3], 1)]
+    got = urlfilter.fit(spark.createDataFrame(data, "found array<int>, target int"), buckets=4, rounds=3)
+    x = np.zeros((5, 5))
+    for i, (f, _) in enumerate(data):
+        x[i, f] = 1 / np.sqrt(len(f))
+    x[:, 4] = 1
+    y = np.array([t for _, t in data])
+    share = np.where(y == 1, 0.5 / 3, 0.5 / 2)
+    w, speed = np.zeros(5), np.zeros(5)
+    for _ in range(3):
+        slope = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * share) + urlfilter.DECAY * w * [1, 1, 1, 1, 0]
+        speed = 0.9 * speed - urlfilter.STEP * slope
+        w = w + speed
+    assert np.allclose(got, w, rtol=1e-6)
+
+
+def test_a_hot_url_leaves_the_other_labels(spark):
+    rows = [(i, f"http://{'good' if i % 2 else 'evil'}{i}.com/{'fr' if i % 2 else 'de'}/{i}") for i in range(100)] + [(1000 + i, f"http://{'good' if i % 2 else 'evil'}{i}.net/{'fr' if i % 2 else 'de'}/{i}") for i in range(40)]
+    copies = spark.range(200_000).select((F.col("id") + 10_000).alias("page_id"), F.lit("http://evil.com/de/0").alias("url"))
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string").unionAll(copies)).where("page_id between 1000 and 1039").collect()
+    assert np.mean([(r["verdict"] == "allow") == (r["page_id"] % 2 == 1) for r in got]) > 0.9
