@@ -3,7 +3,7 @@
 A shard is a block of whole texts of one Spark partition. Words that no test phrase holds, text ends and stretches
 shorter than the shortest phrase become separators, the rest is indexed, every phrase is a range of the index,
 and its places are located by sampled suffix positions; places merge into removal spans. The benchmark is sent to the tasks
-in blocks of bounded size, one pass over the documents each, without a shuffle.
+in tables of bounded size, a few for each pass over the documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.llm import blocks
 from tablewright.llm.fmindex import FMIndex
-from tablewright.llm.shared import map_arrow, text_column
+from tablewright.llm.shared import map_arrow, named, text_column, whole_row
 
 WINDOW = 13
-#: Bytes of benchmark text that are broadcast at once.
+#: Bytes of benchmark text that make one phrase table (about four bytes each there), and tables that one pass searches.
 BENCHMARK_BYTES = 8 << 20
+TABLES = 4
 SHARD_BYTES = 1 << 20
 #: Places that are located at once.
 PLACES = 1 << 20
@@ -30,10 +32,11 @@ PLACES = 1 << 20
 
 @dataclass
 class Phrases:
-    """The distinct windows of some benchmark items."""
+    """The distinct windows of some benchmark items: stretches of the items' words."""
 
     vocabulary: np.ndarray  # sorted fingerprints of their words
-    windows: np.ndarray  # word numbers from 2 on, right-aligned
+    words: np.ndarray  # all items' words as numbers from 2 on
+    begin: np.ndarray  # of each window
     lengths: np.ndarray
     owners: np.ndarray  # numbers of the items of each window, one after the other
     owned: np.ndarray  # where each window's begin
@@ -44,26 +47,24 @@ def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases | Non
     """Windows of ``window`` words; an item with fewer words, but some, is one window. None if there are no words."""
     texts = pa.array([text for _, text in items], pa.string())
     table = blocks.split_table(blocks.NOT_ALNUM, lower=True)
-    words: list[np.ndarray] = []
+    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for block in blocks.blocks(texts, table):
-        hashes = block.hashes()
-        words += [hashes[a:b] for a, b in zip(block.word_at[:-1], block.word_at[1:])]
-    everything = np.concatenate([*words, np.empty(0, np.uint64)])
-    if not len(everything):
+        hashes.append(block.hashes())
+        counts.append(np.diff(block.word_at))
+    vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
+    if not len(vocabulary):
         return None
-    vocabulary = np.unique(everything)
-    rows, lengths, owner = [], [], []
-    for i, item in enumerate(words):
-        ids = np.searchsorted(vocabulary, item) + 2
-        for a in range(max(1, len(ids) - window + 1) if len(ids) else 0):
-            piece = ids[a : a + window]
-            rows.append(np.concatenate([np.zeros(window - len(piece), np.int64), piece]))
-            lengths.append(len(piece))
-            owner.append(i)
-    windows, index = np.unique(np.array(rows), axis=0, return_inverse=True)
-    order = np.lexsort((owner, index.ravel()))
-    counts = np.bincount(index.ravel(), minlength=len(windows))
-    return Phrases(vocabulary, windows, (windows > 0).sum(axis=1), np.array(owner)[order], np.append(0, np.cumsum(counts)), [x for x, _ in items])
+    words, count = (words.ravel() + 2).astype(np.int32), np.concatenate(counts)
+    many = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+    owner = np.repeat(np.arange(len(count)), many)
+    begin = np.arange(int(many.sum())) + np.repeat(np.cumsum(count) - count - np.cumsum(many) + many, many)
+    length = np.minimum(count, window)[owner]
+    rows = np.append(words, np.zeros(window, np.int32))[begin[:, None] + np.arange(window)]
+    rows[np.arange(window) >= length[:, None]] = 0
+    _, index, same = np.unique(np.ascontiguousarray(rows).view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((owner, same))
+    owned = np.append(0, np.cumsum(np.bincount(same, minlength=len(index))))
+    return Phrases(vocabulary, words, begin[index].astype(np.int32), length[index].astype(np.int32), owner[order].astype(np.int32), owned, [x for x, _ in items])
 
 
 def _search(block: blocks.Block, found: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def _search(block: blocks.Block, found: Phrases) -> tuple[np.ndarray, np.ndarray
     inner[last] = False
     text[inner] = at[place[inner]] + 2
     index = FMIndex(text, int(len(found.vocabulary) + 2).bit_length())
-    low, high = index.ranges(found.windows, found.lengths)
+    low, high = index.ranges(found.words, found.begin, found.lengths)
     some = np.flatnonzero(low < high)
     if not len(some):
         return mark[:n] > 0, np.empty(0, np.int64), np.empty(0, np.int64)
@@ -110,10 +111,10 @@ def _search(block: blocks.Block, found: Phrases) -> tuple[np.ndarray, np.ndarray
         where = place[index.locate(rows)]
         np.add.at(mark, where, 1)
         np.add.at(mark, where + found.lengths[which], -1)
-        pairs.append(np.unique(text_of[where] * len(found.windows) + which))
+        pairs.append(np.unique(text_of[where] * len(found.begin) + which))
         i = j
     code = np.unique(np.concatenate(pairs))
-    doc, which = code // len(found.windows), code % len(found.windows)
+    doc, which = code // len(found.begin), code % len(found.begin)
     many = found.owned[which + 1] - found.owned[which]
     owner = found.owners[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(found.owned[which], many)]
     both = np.unique(np.repeat(doc, many) * len(found.items) + owner)
@@ -134,33 +135,32 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in merged]
 
 
-def _pass(rows: DataFrame, found: Phrases | None) -> DataFrame:
+def _pass(rows: DataFrame, tables: list[Phrases]) -> DataFrame:
     """``rows`` (key, text, n_words, spans, items) with what these phrases add."""
-    sent = rows.sparkSession.sparkContext.broadcast(found)
+    sent = [rows.sparkSession.sparkContext.broadcast(x) for x in tables]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = blocks.split_table(blocks.NOT_ALNUM, lower=True)
-        known = sent.value
         for batch in batches:
             texts = text_column(batch, "text")
             counts = np.zeros(batch.num_rows, np.int64)
             spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for block in blocks.blocks(texts, table, SHARD_BYTES):
                 counts[block.first : block.first + block.texts] = np.diff(block.word_at)
-                if known is None or not len(block.starts):
+                if not len(block.starts):
                     continue
-                hit, doc, item = _search(block, known)
-                for d, i in zip(doc.tolist(), item.tolist()):
-                    items[block.first + d].append(known.items[i])
-                for d in np.unique(doc).tolist():
-                    flags = np.concatenate([[0], hit[block.word_at[d] : block.word_at[d + 1]].astype(np.int8), [0]])
-                    edge = np.flatnonzero(np.diff(flags)).tolist()
-                    old = [(x["start"], x["end"]) for x in spans[block.first + d]]
-                    spans[block.first + d] = _merge([*old, *zip(edge[::2], edge[1::2])])
+                for known in (x.value for x in sent):
+                    hit, doc, item = _search(block, known)
+                    for d, i in zip(doc.tolist(), item.tolist()):
+                        items[block.first + d].append(known.items[i])
+                    for d in np.unique(doc).tolist():
+                        flags = np.concatenate([[0], hit[block.word_at[d] : block.word_at[d + 1]].astype(np.int8), [0]])
+                        edge = np.flatnonzero(np.diff(flags)).tolist()
+                        old = [(x["start"], x["end"]) for x in spans[block.first + d]]
+                        spans[block.first + d] = _merge([*old, *zip(edge[::2], edge[1::2])])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["key", "text", "n_words", "spans", "items"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return map_arrow(rows, step, f"key {kind}, text string, {FOUND}")
+    return map_arrow(rows, step, T.StructType([rows.schema["key"], *T.StructType.fromDDL(f"text string, {FOUND}").fields]))
 
 
 def benchmark_blocks(benchmark: DataFrame, most: int = BENCHMARK_BYTES) -> Iterator[list[tuple[str, str]]]:
@@ -182,15 +182,20 @@ def find(docs: DataFrame, benchmark: DataFrame, key: Column, text: Column, windo
     """
     empty = "array()"
     rows = docs.select(key.alias("key"), text.cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast({empty} as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr(f"cast({empty} as array<string>)").alias("items"))
+    held: list[Phrases] = []
+    passed = False
     for block in benchmark_blocks(benchmark, most):
-        rows = _pass(rows, phrases(block, window))
+        held += [x for x in [phrases(block, window)] if x is not None]
+        if len(held) == TABLES:
+            rows, held, passed = _pass(rows, held), [], True
+    if held or not passed:
+        rows = _pass(rows, held)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
     told = rows.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("n_hit", n_hit)
     return told.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_name: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
-    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
-    kept = find(docs, benchmark, row, docs[text_name]).where(~F.col("contaminated"))
+    """The rows of ``docs``, all columns, that are not contaminated. Null and empty texts stay, repeated rows are judged each."""
+    kept = find(docs, benchmark, whole_row(docs), named(text_name)).where(~F.col("contaminated"))
     return kept.select("key.*")

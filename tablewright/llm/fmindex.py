@@ -91,19 +91,19 @@ class FMIndex:
         self.places = order[kept]
         self.size = len(text)
 
-    def ranges(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of patterns (rows, right-aligned), by backward search; empty ones have low >= high."""
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), self.size, np.int64)
-        alive = np.arange(len(patterns))
-        for step in range(patterns.shape[1]):
-            alive = alive[(low[alive] < high[alive])]
-            now = alive[lengths[alive] > step]
-            if not len(now):
+    def ranges(self, words: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix ranges of patterns (stretches of ``words``), by backward search; empty ones have low >= high."""
+        low = np.zeros(len(begin), np.int64)
+        high = np.full(len(begin), self.size, np.int64)
+        last = begin.astype(np.int64) + lengths - 1
+        alive = np.arange(len(begin))
+        for step in range(int(lengths.max()) if len(lengths) else 0):
+            alive = alive[(low[alive] < high[alive]) & (lengths[alive] > step)]
+            if not len(alive):
                 break
-            symbol = patterns[now, patterns.shape[1] - 1 - step]
-            a, b = self.wavelet.rank(symbol, low[now], high[now])
-            low[now], high[now] = self.before[symbol] + a, self.before[symbol] + b
+            symbol = words[last[alive] - step].astype(np.int64)
+            a, b = self.wavelet.rank(symbol, low[alive], high[alive])
+            low[alive], high[alive] = self.before[symbol] + a, self.before[symbol] + b
         return low, high
 
     def locate(self, at: np.ndarray) -> np.ndarray:

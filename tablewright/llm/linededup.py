@@ -2,10 +2,15 @@
 
 DataFrame functions only. The suffixes of every document's line-id sequence get, level by level, the rank of their first 2^k
 lines among all suffixes (an order-preserving number from a range sort of the distinct pairs of ranks of level k - 1);
-suffixes whose rank nobody shares drop out, so each level works on what still repeats. Two suffixes share m lines if
-their ranks agree at both ends of these m lines, which makes the suffixes that share them one interval of
-common prefixes. Of each interval of enough words the first suffix stays and the lines of the others go; what goes is merged
-into maximal runs.
+suffixes whose rank nobody shares drop out, so each level works on what still repeats; at the last level that any
+repeated run reaches, ranks are those of the suffix array of all that repeats.
+
+In a suffix array the suffixes that share their first m lines are one interval, inside which neighbours have common prefixes
+of m lines or more. Here that interval is the group of equal (m, rank of the first 2^k lines, rank of the 2^k lines that end
+at m), k being the last level with 2^k <= m: the two stretches cover the m lines, and ranks of a level are equal only for equal
+lines, so the group holds exactly the suffixes of the interval. A run is right-maximal, and named, for every length at which
+enough words are reached. Of each interval of enough words the first suffix stays and the lines of the others go; what goes
+is merged into maximal runs.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.shared import cut, unplaced
+from tablewright.llm.shared import cut, named, unplaced, whole_row
 
 #: Words that a repeated run of lines must have.
 MIN_WORDS = 50
@@ -22,18 +27,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _DOC = ["i", "t"]
 
 
-def _keys(docs: DataFrame, id_column: str, text_name: str) -> tuple[Column, Column, Column]:
+def _keys(id_column: str, text_name: str) -> tuple[Column, Column, Column]:
     """Id (null as the least number), hash of the text, and the text with null as empty."""
-    text = F.coalesce(docs[text_name].cast("string"), F.lit(""))
-    return F.coalesce(docs[id_column].cast("bigint"), F.lit(-(1 << 63))), F.xxhash64(text), text
+    text = F.coalesce(named(text_name).cast("string"), F.lit(""))
+    return F.coalesce(named(id_column).cast("bigint"), F.lit(-(1 << 63))), F.xxhash64(text), text
 
 
 def _lines(docs: DataFrame, id_column: str, text_name: str) -> DataFrame:
-    """(i, t, pos, h, w): the lines of distinct documents, as ids with their words."""
-    i, t, text = _keys(docs, id_column, text_name)
-    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    """(i, t, pos, h, g, w): the lines of distinct documents, named by two 64-bit hashes, with their words."""
+    i, t, text = _keys(id_column, text_name)
+    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     rows = docs.select(i.alias("i"), t.alias("t"), parts.alias("parts")).dropDuplicates(_DOC)
-    return rows.select("i", "t", F.posexplode("parts").alias("pos", "x")).select("i", "t", "pos", "x.h", "x.w")
+    return rows.select("i", "t", F.posexplode("parts").alias("pos", "x")).select("i", "t", "pos", "x.h", "x.g", "x.w")
 
 
 def _least_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -80,11 +85,13 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "
     document of smaller id (of equal id: of smaller text hash), or further up in the same one, where the two may overlap.
     """
     lines = _lines(docs, id_column, text_name)
-    often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(unplaced(F.col("h")).alias("h2"))
-    marked = cut(lines.join(often, F.col("h") == F.col("h2"), "left").select(*_DOC, "pos", "h", "w", F.col("h2").isNotNull().alias("again")))
+    often = lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
+    # level 0: a line's rank is its place among the names of the lines that repeat
+    ranked = cut(often.orderBy("h", "g").withColumn("r", F.monotonically_increasing_id())).select(unplaced(F.col("h")).alias("h2"), unplaced(F.col("g")).alias("g2"), "r")
+    marked = cut(lines.join(ranked, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left").select(*_DOC, "pos", "r", "w", F.col("r").isNotNull().alias("again")))
     runs = cut(_least_runs(marked, min_words).withColumn("k", F.floor(F.log2("m")).cast("int")))
     most = runs.agg(F.max("k")).first()[0]
-    ranks = marked.where("again").select(*_DOC, "pos", F.col("h").alias("r"))
+    ranks = marked.where("again").select(*_DOC, "pos", "r")
     gone = None
     for k in range((most if most is not None else -1) + 1):
         if k:
@@ -106,20 +113,28 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "
     return merged.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("gone"))
 
 
-def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_name: str = "text") -> DataFrame:
-    """``docs`` with all columns, the text without later copies, and ``__lines`` and ``__gone``, its numbers of lines.
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_name: str = "text") -> DataFrame:
+    """(row, text, n_lines, n_gone) for every row of ``docs``: all its columns as a struct, the text without later copies, its
+    numbers of lines and of lines that went.
 
     Lines are parted by \\n only. Null texts stay null and empty ones empty; a document that loses all lines has an empty
     text. Rows that repeat an id and a text are one document and get the same answer. Null ids come before all others.
     """
-    found = later_copies(docs, min_words, id_column, text_name)
-    i, t, _ = _keys(docs, id_column, text_name)
-    rows = docs.withColumns({"__i": i, "__t": t})
-    joined = rows.join(found.select(F.col("i").alias("__i"), F.col("t").alias("__t"), F.col("gone").alias("__runs")), ["__i", "__t"], "left")
-    parts = F.split(F.coalesce(F.col(f"`{text_name}`").cast("string"), F.lit("")), "\n")
-    kept = F.expr("transform(sequence(0, size(__runs)), x -> named_struct('s', IF(x = 0, 0, get(__runs, x - 1).e), 'e', IF(x = size(__runs), size(__parts), get(__runs, x).s)))")
-    joined = joined.withColumn("__parts", F.when(F.col("__runs").isNotNull(), parts)).withColumn("__kept", kept)
-    cleaned = F.expr("array_join(transform(filter(__kept, x -> x.e > x.s), x -> array_join(slice(__parts, x.s + 1, x.e - x.s), '\n')), '\n')")
-    gone = F.coalesce(F.expr("aggregate(__runs, 0L, (z, x) -> z + x.e - x.s)"), F.lit(0).cast("bigint"))
-    told = joined.withColumns({"__lines": F.size(parts).cast("bigint"), "__gone": gone, "__text": F.when(F.col("__runs").isNull(), F.col(f"`{text_name}`")).otherwise(cleaned)})
-    return told.select(*(F.col("__text").cast(docs.schema[c].dataType).alias(c) if c == text_name else F.col(f"`{c}`") for c in docs.columns), "__lines", "__gone")
+    found = later_copies(docs, min_words, id_column, text_name).select(F.col("i").alias("of"), F.col("t").alias("hash"), "gone")
+    i, t, _ = _keys(id_column, text_name)
+    rows = docs.select(whole_row(docs), i.alias("i"), t.alias("t"))
+    joined = rows.join(found, (F.col("i") == F.col("of")) & (F.col("t") == F.col("hash")), "left")
+    parts = F.split(F.coalesce(F.col("row")[text_name].cast("string"), F.lit("")), "\n")
+    kept = F.expr("transform(sequence(0, size(gone)), x -> named_struct('s', IF(x = 0, 0, get(gone, x - 1).e), 'e', IF(x = size(gone), size(parts), get(gone, x).s)))")
+    joined = joined.withColumn("parts", F.when(F.col("gone").isNotNull(), parts)).withColumn("kept", kept)
+    left = F.expr("array_join(transform(filter(kept, x -> x.e > x.s), x -> array_join(slice(parts, x.s + 1, x.e - x.s), '\n')), '\n')")
+    n_gone = F.coalesce(F.expr("aggregate(gone, 0L, (z, x) -> z + x.e - x.s)"), F.lit(0).cast("bigint"))
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_name].cast("string")).otherwise(left)
+    return joined.select("row", text.alias("text"), F.size(parts).cast("bigint").alias("n_lines"), n_gone.alias("n_gone"))
+
+
+def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_name: str = "text") -> DataFrame:
+    """``docs`` with all columns, the text without later copies, as ``cleaned`` gives it; emptied documents stay."""
+    told = cleaned(docs, min_words, id_column, text_name)
+    row = F.col("row")
+    return told.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c.lower() == text_name.lower() else row[c].alias(c) for c in docs.columns))

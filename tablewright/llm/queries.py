@@ -70,7 +70,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return linededup.without_copies(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), digest.alias("kept_sha256"))
+    return linededup.cleaned(docs).select("row.doc_id", "n_lines", F.col("n_gone").alias("n_removed"), digest.alias("kept_sha256"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

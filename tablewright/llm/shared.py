@@ -10,6 +10,8 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import BinaryIO
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,12 +45,87 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _store(path: str) -> tuple[object, str]:
+    url = urlparse(path)
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), unquote(url.path)) if url.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+
+
+def open_shared(path: str, mode: str) -> BinaryIO:
+    """A file of the shared folder: local and mounted paths directly, other stores by pyarrow."""
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        return open(unquote(url.path), mode)
+    store, inner = _store(path)
+    return store.open_output_stream(inner, compression=None) if "w" in mode else store.open_input_file(inner)
+
+
+def make_shared(path: str) -> None:
+    store, inner = _store(path)
+    store.create_dir(inner, recursive=True)
+
+
+def list_shared(path: str) -> list[str]:
+    """Names of the files of a folder."""
+    from pyarrow import fs
+
+    store, inner = _store(path)
+    return [x.base_name for x in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if x.is_file]
+
+
+def remove_shared(path: str) -> None:
+    """Remove a file or a folder with all it holds, if it exists."""
+    from pyarrow import fs
+
+    store, inner = _store(path)
+    kind = store.get_file_info(inner).type
+    if kind == fs.FileType.File:
+        store.delete_file(inner)
+    elif kind == fs.FileType.Directory:
+        store.delete_dir(inner)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder (a reliable checkpoint)."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The same rows, written as a table in the shared folder and read from there.
+
+    Unlike a checkpoint, the table has a size of its own. A checkpoint's is estimated from the plan behind it, where a join
+    multiplies its sides' sizes, so that in a loop of joins the number doubles its digits each time and planning never ends.
+    """
+    path = new_shared_path(frame.sparkSession, "table")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def named(name: str) -> Column:
+    """A column by its name, whatever signs that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, beside which an operator's own columns cannot clash; ``row.*`` gives them back."""
+    return F.struct(*map(named, docs.columns)).alias("row")
+
+
+def row_key(id_column: str, text_name: str) -> Column:
+    """What tells rows apart: struct (none, id, hash) of the id, null ids last, and of the text, null as empty."""
+    text = F.coalesce(named(text_name).cast("string"), F.lit(""))
+    return F.struct(named(id_column).isNull().alias("none"), named(id_column).cast("bigint").alias("id"), F.xxhash64(text).alias("hash"))
+
+
+def rows_of(docs: DataFrame, id_column: str, text_name: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each of the row keys (key) that are ``kept``; whole rows are moved once."""
+    of = lambda key: [F.col(f"{key}.none").alias("none"), F.coalesce(F.col(f"{key}.id"), F.lit(0).cast("bigint")).alias("id"), F.col(f"{key}.hash").alias("hash")]
+    rows = docs.select(whole_row(docs), row_key(id_column, text_name).alias("key")).select("row", *of("key")).dropDuplicates(["none", "id", "hash"])
+    return rows.join(kept.select(*of("key")).distinct(), ["none", "id", "hash"], "left_semi").select("row.*")
+
+
 def unplaced(number: Column) -> Column:
     """The same whole number, by an expression through which Spark does not follow a partitioning.
 

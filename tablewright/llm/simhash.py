@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import blocks
 from tablewright.llm.components import components
-from tablewright.llm.shared import cut, map_arrow, text_column, unplaced
+from tablewright.llm.shared import cut, map_arrow, named, row_key, rows_of, stored, text_column, unplaced
 
 BITS = 64
 WORDS = 3
@@ -143,24 +143,24 @@ def _split_large(work: DataFrame, limit: int) -> list[DataFrame]:
     """Rows (PAIR, side, n) as parts in which no node pair has over ``limit`` rows, but for full paths."""
     ready = []
     while True:
-        large = cut(work.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > limit) & (F.col("depth") + SPLIT_BITS <= BITS)).drop("rows"))
+        large = stored(work.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > limit) & (F.col("depth") + SPLIT_BITS <= BITS)).drop("rows"))
         if large.isEmpty():
             return [*ready, work]
         ready.append(work.join(large, PAIR, "left_anti"))
         rows = work.join(large, PAIR, "left_semi")
         child = F.expr(f"shiftrightunsigned(n, {BITS - SPLIT_BITS} - depth) & {(1 << SPLIT_BITS) - 1}")
-        rows = cut(rows.withColumn("child", child))
+        rows = stored(rows.withColumn("child", child))
         nodes = rows.groupBy(*PAIR, "side", "child").agg(F.count(F.lit(1)).alias("rows"))
         left = nodes.where("side = 0").select(*PAIR, F.col("child").alias("s"))
         right = nodes.where("side = 1 or a = b").select(*PAIR, F.col("child").alias("t"))
         spent = F.bit_count(F.col("s").bitwiseXOR(F.col("t")))
-        pairs = cut(left.join(right, PAIR).where((spent <= F.col("budget")) & ((F.col("a") != F.col("b")) | (F.col("s") <= F.col("t")))).withColumn("spent", spent))
+        pairs = stored(left.join(right, PAIR).where((spent <= F.col("budget")) & ((F.col("a") != F.col("b")) | (F.col("s") <= F.col("t")))).withColumn("spent", spent))
         down = lambda x, c: F.shiftleft(x, SPLIT_BITS).bitwiseOR(F.col(c))
         new = [F.col("turn"), down("a", "s").alias("a"), down("b", "t").alias("b"), (F.col("depth") + SPLIT_BITS).alias("depth"), (F.col("budget") - F.col("spent")).alias("budget")]
         on_left = rows.where("side = 0").withColumnRenamed("child", "s").join(pairs, [*PAIR, "s"])
         on_right = rows.where("side = 1 or a = b").withColumnRenamed("child", "t").join(pairs, [*PAIR, "t"])
         on_right = on_right.where((F.col("a") != F.col("b")) | (F.col("s") != F.col("t")))
-        work = cut(on_left.select(*new, F.lit(0).alias("side"), "n").unionAll(on_right.select(*new, F.lit(1).alias("side"), "n")))
+        work = stored(on_left.select(*new, F.lit(0).alias("side"), "n").unionAll(on_right.select(*new, F.lit(1).alias("side"), "n")))
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, limit: int = NODE_LIMIT) -> DataFrame:
@@ -244,9 +244,5 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_name: str = "te
 
     Of repeated ids in a class the text with the least hash stays, and of repeated rows one.
     """
-    text = F.coalesce(docs[text_name].cast("string"), F.lit(""))
-    key = F.struct(docs[id_column].isNull().alias("none"), docs[id_column].cast("bigint").alias("id"), F.xxhash64(text).alias("hash"))
-    kept = classes(docs, key, text).where("key = least").select(F.col("key.id").alias("__id"), F.col("key.hash").alias("__hash")).distinct()
-    marked = docs.withColumns({"__row_id": docs[id_column].cast("bigint"), "__row_hash": F.xxhash64(text)})
-    stay = marked.join(kept, marked["__row_id"].eqNullSafe(kept["__id"]) & (marked["__row_hash"] == kept["__hash"]), "left_semi")
-    return stay.dropDuplicates(["__row_id", "__row_hash"]).drop("__row_id", "__row_hash")
+    kept = classes(docs, row_key(id_column, text_name), named(text_name)).where("key = least").select("key")
+    return rows_of(docs, id_column, text_name, kept)

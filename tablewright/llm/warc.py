@@ -1,7 +1,7 @@
 """WARC archives: written as one gzip stream, normalised to one gzip member per record with an offset index.
 
-A task writes the records of its partition as a monolithic ``.warc.gz`` beside its own memory, inflates that stream
-once, rewrites every record as a member of its own and notes offset and length. Members are what readers
+A task writes the records of its partition as one monolithic gzip stream into the shared folder, inflates that stream
+once (then it goes), rewrites every record as a member of its own and notes offset and length. Members are what readers
 seek to; the notes are the sidecar index, a table and a JSON-lines file beside each archive.
 """
 
@@ -9,19 +9,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
-import tempfile
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import cut, map_arrow, new_shared_path
+from tablewright.llm.shared import cut, list_shared, make_shared, map_arrow, new_shared_path, open_shared, remove_shared
 
 CHUNK = 1 << 18
 INDEX = "file string, position bigint, size bigint, record_id string, record_type string, payload_digest string"
@@ -31,25 +30,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ROWS = 5_000
 
 
-def open_shared(path: str, mode: str) -> BinaryIO:
-    """A file of the shared folder: local and mounted paths directly, other stores by pyarrow."""
-    url = urlparse(path)
-    if url.scheme in ("", "file"):
-        return open(unquote(url.path), mode)
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_output_stream(inner, compression=None) if "w" in mode else store.open_input_file(inner)
-
-
-def make_shared(path: str) -> None:
-    url = urlparse(path)
-    from pyarrow import fs
-
-    store, inner = (fs.LocalFileSystem(), unquote(url.path)) if url.scheme in ("", "file") else fs.FileSystem.from_uri(path)
-    store.create_dir(inner, recursive=True)
-
-
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -191,19 +171,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        with tempfile.TemporaryFile() as whole:  # this task's own, gone when it ends
-            deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
-
-            def more() -> Iterator[pa.RecordBatch]:
-                yield first
-                yield from batches
-
-            for batch in more():
-                for page, url, html, kept in zip(*(batch.column(i) for i in range(4))):
-                    whole.write(deflate.compress(record(page.as_py(), url.as_py(), html.as_py().encode(), kept.as_py())))
-            whole.write(deflate.flush())
-            whole.seek(0)
-            with open_shared(name, "wb") as target, open_shared(f"{name}.index.jsonl", "wb") as sidecar:
+        deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
+        stream = f"{name}.stream"
+        try:
+            with open_shared(stream, "wb") as whole:
+                for batch in itertools.chain([first], batches):
+                    for page, url, html, kept in zip(*(batch.column(i) for i in range(4))):
+                        whole.write(deflate.compress(record(page.as_py(), url.as_py(), html.as_py().encode(), kept.as_py())))
+                whole.write(deflate.flush())
+            with open_shared(stream, "rb") as whole, open_shared(name, "wb") as target, open_shared(f"{name}.index.jsonl", "wb") as sidecar:
 
                 def noted() -> Iterator[dict]:
                     for x in normalise(whole, target):
@@ -211,8 +187,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
                         yield {"file": name, **x}
 
                 yield from _batches(noted(), pa.schema([("file", pa.string()), ("position", pa.int64()), ("size", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string())]))
-
-    return cut(map_arrow(told.select("page_id", "url", "payload", refers.alias("refers_to")), step, INDEX))
+        finally:
+            remove_shared(stream)
+
+    index = cut(map_arrow(told.select("page_id", "url", "payload", refers.alias("refers_to")), step, INDEX))
+    good = {r["file"] for r in index.select("file").distinct().collect()}  # one for each task at most
+    for file in list_shared(folder):  # attempts that were lost or ran twice
+        if f"{folder}/{file.removesuffix('.index.jsonl')}" not in good:
+            remove_shared(f"{folder}/{file}")
+    return index
 
 
 def read_archives(index: DataFrame) -> DataFrame:

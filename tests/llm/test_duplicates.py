@@ -112,20 +112,43 @@ def _dedup(docs, least=50):
     return {d: ("\n".join(x for i, x in enumerate(ls) if (d, i) not in gone), sum((d, i) in gone for i in range(len(ls)))) for d, ls in lines.items()}
 
 
+def _by_suffix_array(docs, least=50):
+    """The same from a suffix array: in each interval of common prefixes of m lines and enough words all but the first go."""
+    lines = {d: (t or "").split("\n") for d, t in docs}
+    count = {d: [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in ls] for d, ls in lines.items()}
+    order = sorted((ls[a:], d, a) for d, ls in lines.items() for a in range(len(ls)))
+    gone = set()
+    for m in range(1, max(map(len, lines.values())) + 1):
+        interval = []
+        for x in [*order, (None, None, None)]:
+            fits = x[0] is not None and len(x[0]) >= m
+            if interval and not (fits and x[0][:m] == interval[0][0][:m]):
+                if sum(count[interval[0][1]][interval[0][2] : interval[0][2] + m]) >= least:
+                    for _, d, a in sorted(interval, key=lambda y: y[1:])[1:]:
+                        gone |= {(d, a + i) for i in range(m)}
+                interval = []
+            if fits:
+                interval.append(x)
+    return {d: ("\n".join(x for i, x in enumerate(ls) if (d, i) not in gone), sum((d, i) in gone for i in range(len(ls)))) for d, ls in lines.items()}
+
+
 def test_line_dedup_agrees_with_brute_force(spark, empty):
     rng = np.random.default_rng(3)
     pool = [sentence("en", s, int(n)).replace("\n", " ") for s, n in enumerate(rng.integers(3, 60, 14))] + ["", "", "x"]
     docs = [(i, "\n".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 12)))) for i in range(60)]
     shared = "\n".join(pool[:6])
     docs += [(100, shared), (101, "head\n" + shared + "\ntail"), (102, shared), (103, None), (104, ""), (105, "\n\n")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("s", F.lit("clash")).repartition(5)
-    got = {r["doc_id"]: r for r in linededup.without_copies(frame).collect()}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({x: F.lit("clash") for x in ("s", "__i", "__t", "__gone", "i", "t", "gone", "row", "a`b")}).repartition(5)
+    got = {r["row"]["doc_id"]: r for r in linededup.cleaned(frame).collect()}
     for d, (text, n) in _dedup(docs).items():
-        assert (got[d]["text"] or "", got[d]["__gone"]) == (text, n), d
-    assert got[103]["text"] is None and got[105]["__lines"] == 3
+        assert (got[d]["text"] or "", got[d]["n_gone"]) == (text, n), d
+    assert got[103]["text"] is None and got[105]["n_lines"] == 3
+    whole = linededup.without_copies(frame)
+    assert whole.columns == frame.columns and all(r["__i"] == r["a`b"] == "clash" and r["text"] == got[r["doc_id"]]["text"] for r in whole.collect())
+    assert {d: x for d, (x, _) in _by_suffix_array(docs).items()} == {d: x for d, (x, _) in _dedup(docs).items()}
     assert linededup.without_copies(empty).count() == 0
 
 
 def test_line_dedup_of_odd_rows(odd):
-    got = linededup.without_copies(odd.select("doc_id", "text"))
-    assert got.count() == odd.count() and got.where("__gone > 0").count() == 0
+    got = linededup.cleaned(odd.select("doc_id", "text"))
+    assert got.count() == odd.count() and got.where("n_gone > 0").count() == 0
