@@ -44,8 +44,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    network = secrets.train(*secrets.findings())
-    return secrets.scan(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), network).withColumnRenamed("key", "doc_id")
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, F.col("doc_id"), F.col("text"), secrets.fit(docs, F.col("text"))).withColumnRenamed("key", "doc_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
