@@ -1,6 +1,7 @@
 """Operator 3."""
 
 import collections
+import json
 import zlib
 
 import numpy as np
@@ -37,7 +38,7 @@ def test_ids_are_those_of_the_library(text):
 def _check(pieces, documents, size):
     """Every id once, sequences without gaps; returns the padding."""
     by_sequence, by_doc = collections.defaultdict(list), collections.defaultdict(list)
-    for doc, start, length, crc, total, sequence, offset in pieces:
+    for doc, start, length, crc, total, sequence, offset, _ in pieces:
         by_sequence[sequence].append((offset, length))
         by_doc[doc].append((start, length, crc, total))
     for doc, ids in documents:
@@ -58,10 +59,39 @@ def _check(pieces, documents, size):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 90), max_size=60))
-def test_packing_keeps_every_id(lengths):
+@given(st.lists(st.integers(1, 90), max_size=60), st.sampled_from([1, 2, 5, 64]))
+def test_packing_keeps_every_id(lengths, most_open):
     documents = [(i, np.arange(n, dtype="<u4")) for i, n in enumerate(lengths)]
-    assert _check(list(packing.pack(iter(documents), 16)), documents, 16) == 0
+    assert _check(list(packing.pack(iter(documents), 16, most_open=most_open)), documents, 16) == 0
+
+
+@pytest.mark.parametrize("low, high, n, least", [(520, 1_000, 2_000, 0.9), (520, 1_000, 400, 0.9), (1, 1_024, 1_000, 0.9), (30, 300, 1_000, 0.9)])
+def test_most_ids_lie_where_the_rule_put_them(low, high, n, least):
+    rng = np.random.default_rng(6)
+    documents = [(i, np.arange(k, dtype="<u4")) for i, k in enumerate(rng.integers(low, high, n).tolist())]
+    pieces = list(packing.pack(iter(documents)))
+    assert _check(pieces, documents, 1024) == 0
+    assert 1 - sum(p[2] for p in pieces if p[7]) / sum(p[2] for p in pieces) >= least
+
+
+def test_open_sequences_are_bounded():
+    held = []
+    packer = packing.LevelPacker(1024)
+    for n in np.random.default_rng(1).integers(520, 1_000, 500).tolist():
+        place = packer.place(int(n), packer.opened < 64)
+        if place is None:
+            _, level = packer.fill()
+            assert 0 < level < 1024 and n > 1024 - level
+        held.append(packer.opened)
+    assert max(held) == 64
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            packing.Ids(str(tmp_path / "other.json"))
 
 
 def test_placement_is_the_sum_of_squares_rule():
