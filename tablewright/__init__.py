@@ -3,8 +3,10 @@
 from importlib import import_module
 
 _PLACES = {"DataFrameToolkit": "tablewright.agent.toolkit", "DecisionTreeModule": "tablewright.agent.insight", "ToolModule": "tablewright.agent.tools", "enable_logging": "tablewright.agent.logs"}
+_PLACES |= dict.fromkeys(["QueryError", "QuerySyntaxError", "QueryCommandError", "QueryTableError", "QueryColumnError", "QueryExecutionError"], "tablewright.plans.errors")
+_PLACES |= {"ToolCallError": "tablewright.sources.models", "validate": "tablewright.plans.guard"}
 
-__all__ = ["DataFrameToolkit", "DecisionTreeModule", "ToolModule", "enable_logging"]  # noqa: F822
+__all__ = sorted(_PLACES)
 
 
 def __getattr__(name: str) -> object:

@@ -10,8 +10,9 @@ from typing import Annotated, Literal
 from pydantic import BaseModel, Field, field_validator, model_validator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewright.functions.columns import named
+from tablewright.functions.columns import as_number, named
 
 _TESTS: dict[str, Callable] = {">": operator.gt, ">=": operator.ge, "!=": operator.ne, "==": operator.eq, "<": operator.lt, "<=": operator.le, "in": lambda x, s: x in s, "not in": lambda x, s: x not in s}
 
@@ -22,6 +23,8 @@ class Predicate(BaseModel):
     variable: str
     operator: Literal[">", ">=", "!=", "==", "<", "<=", "in", "not in"]
     value: float | str | set[float] | set[str]
+    #: Whether a missing value passes.
+    nulls: bool = False
 
     @model_validator(mode="after")
     def _fits(self) -> Predicate:
@@ -31,37 +34,41 @@ class Predicate(BaseModel):
 
     def __str__(self) -> str:
         value = "{" + ", ".join(str(x) for x in sorted(self.value, key=lambda x: (str(type(x)), x))) + "}" if isinstance(self.value, set) else self.value
-        return f"{self.variable} {self.operator} {value}"
+        return f"{self.variable} {self.operator} {value}" + (" or null" if self.nulls else "")
 
-    def eval(self, x: float | str) -> bool:
-        return bool(_TESTS[self.operator](x, self.value))
+    def eval(self, x: float | str | None) -> bool:
+        return self.nulls if x is None else bool(_TESTS[self.operator](x, self.value))
 
-    def column(self) -> Column:
-        """The same test as a column expression."""
+    def column(self, kind: T.DataType | None = None) -> Column:
+        """The same test as a column expression, never null. ``kind`` is the variable's type, where that isn't a number or text."""
         x = named(self.variable)
         if isinstance(self.value, set):
-            inside = x.isin(sorted(self.value))
-            return inside if self.operator == "in" else ~inside
-        return _TESTS[self.operator](x, F.lit(self.value))
+            inside = x.isin(sorted(self.value)) if self.value else x.isNull() & F.lit(False)
+            test = inside if self.operator == "in" else ~inside
+        else:
+            test = _TESTS[self.operator](as_number(x, kind) if kind is not None and not isinstance(self.value, str) else x, F.lit(self.value))
+        return F.when(x.isNull(), F.lit(self.nulls)).otherwise(test)
 
 
 def simplify(predicates: Sequence[Predicate]) -> list[Predicate]:
-    """One predicate per variable and operator, in order of first use: least ``<=``, greatest ``>``, common ``in``."""
+    """One predicate per variable and operator, in order of first use: least ``<=``, greatest ``>``, common ``in``; a missing value
+    passes if it passes all."""
     groups: dict[tuple[str, str], list[Predicate]] = {}
     for p in predicates:
         groups.setdefault((p.variable, p.operator), []).append(p)
     found = []
     for (variable, op), group in groups.items():
+        nulls = all(p.nulls for p in group)
         if op in ("<=", ">"):
             value = (min if op == "<=" else max)(p.value for p in group)
         elif op == "in":
             value = reduce(operator.and_, (p.value for p in group))
-            if not value:
+            if not value and not nulls:
                 raise ValueError(f"contradicting sets for {variable!r}")
         else:
             found += group
             continue
-        found.append(Predicate(variable=variable, operator=op, value=value))
+        found.append(Predicate(variable=variable, operator=op, value=value, nulls=nulls))
     return found
 
 

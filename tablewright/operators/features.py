@@ -16,7 +16,6 @@ from tablewright.operators.order import running
 MOST_DISTINCT_SHARE = 0.9
 CLASSES_AT_MOST = 20
 CLASSES_BELOW_SHARE = 0.05
-NULL_LABEL = "None"
 
 
 def kind_of(kind: T.DataType) -> str:
@@ -76,8 +75,8 @@ class Encoder:
     column: str
     codes: DataFrame | None = None
 
-    def labels(self) -> list[str]:
-        """All labels in order, for rules that name them."""
+    def labels(self) -> list[str | None]:
+        """All labels in order, null last, for rules that name them."""
         return [r["label"] for r in self.codes.orderBy("code").collect()]
 
 
@@ -91,8 +90,8 @@ def encoders(frame: DataFrame, columns: Sequence[str]) -> list[Encoder]:
         some = distinct.where("label is not null")
         ranks = running(some.select(F.lit(0).alias("all"), "label", F.lit(1).cast("long").alias("one")), ["all"], "label", ["one"])
         codes = ranks.select("label", (F.col("run_one") - 1).cast("double").alias("code"))
-        if some.count() < distinct.count() and some.where(F.col("label") == NULL_LABEL).isEmpty():
-            codes = codes.unionAll(some.agg(F.lit(NULL_LABEL).alias("label"), F.count(F.lit(1)).cast("double").alias("code")))
+        if not distinct.where("label is null").isEmpty():
+            codes = codes.unionAll(some.agg(F.lit(None).cast("string").alias("label"), F.count(F.lit(1)).cast("double").alias("code")))
         found.append(Encoder(c, codes.persist()))
     return found
 
@@ -105,5 +104,5 @@ def encode(frame: DataFrame, coders: Sequence[Encoder]) -> DataFrame:
             out = out.withColumn(f"x{i}", as_number(named(coder.column), frame.schema[coder.column].dataType))
             continue
         codes = coder.codes.select(F.col("label").alias(f"l{i}"), F.col("code").alias(f"x{i}"))
-        out = out.join(codes, F.coalesce(named(coder.column), F.lit(NULL_LABEL)) == F.col(f"l{i}"), "left").drop(f"l{i}")
+        out = out.join(codes, named(coder.column).eqNullSafe(F.col(f"l{i}")), "left").drop(f"l{i}")
     return out

@@ -33,6 +33,7 @@ class Split:
     threshold: float
     missing_left: bool
     gain: float
+    missing: bool = False  # whether the node has missing values of the feature
 
 
 @dataclass
@@ -101,9 +102,9 @@ def _best(ordered: DataFrame, sides: Callable[[bool], tuple[Column, Column, Colu
         left, right, gain = sides(missing_left)
         fits = (left >= floor) & (right >= floor) & (F.lit(missing_left) | (F.col("none_n") > 0))
         threshold = F.col("v") + (F.col("next_value") - F.col("v")) / 2
-        options.append(F.when(fits, F.struct(F.round(gain, 9).alias("gain"), (-F.col("f")).alias("f"), (-threshold).alias("t"), F.lit(missing_left).alias("left"))))
+        options.append(F.when(fits, F.struct(F.round(gain, 9).alias("gain"), (-F.col("f")).alias("f"), (-threshold).alias("t"), F.lit(missing_left).alias("left"), (F.col("none_n") > 0).alias("none"))))
     best = ordered.select("node", F.explode(F.array(*options)).alias("o")).where("o is not null").groupBy("node").agg(F.max("o").alias("o")).collect()
-    return {r["node"]: Split(-r["o"]["f"], -r["o"]["t"], r["o"]["left"], r["o"]["gain"]) for r in best if r["o"]["gain"] > LEAST_GAIN}
+    return {r["node"]: Split(-r["o"]["f"], -r["o"]["t"], r["o"]["left"], r["o"]["gain"], r["o"]["none"]) for r in best if r["o"]["gain"] > LEAST_GAIN}
 
 
 def best_class_splits(rows: DataFrame, features: int, floor: int, open_nodes: Sequence[int]) -> dict[int, Split]:
@@ -148,16 +149,17 @@ def grow(rows: DataFrame, features: int, sums: Sequence[str], floor: int, max_de
     return tree
 
 
-def _path(tree: Tree, coders: Sequence[Encoder], labels: dict[int, list[str]], leaf: int) -> list[Predicate]:
+def _path(tree: Tree, coders: Sequence[Encoder], labels: dict[int, list[str | None]], leaf: int) -> list[Predicate]:
     found = []
     for depth in range(leaf.bit_length() - 1, 0, -1):
         node, child = leaf >> depth, leaf >> (depth - 1)
         split, left = tree.splits[node], child % 2 == 0
         coder = coders[split.feature]
         if coder.codes is None:
-            found.append(Predicate(variable=coder.column, operator="<=" if left else ">", value=round(split.threshold, THRESHOLD_PLACES)))
+            found.append(Predicate(variable=coder.column, operator="<=" if left else ">", value=round(split.threshold, THRESHOLD_PLACES), nulls=split.missing and split.missing_left == left))
         else:
-            found.append(Predicate(variable=coder.column, operator="in", value={x for i, x in enumerate(labels[split.feature]) if (i <= split.threshold) == left}))
+            side = [x for i, x in enumerate(labels[split.feature]) if (i <= split.threshold) == left]
+            found.append(Predicate(variable=coder.column, operator="in", value=set(side) - {None}, nulls=None in side))
     return simplify(found)
 
 

@@ -36,13 +36,13 @@ SHARED: dict[str, str] = {
     "join_multiway": "SELECT r_name, n_name, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
     "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000",
     "join_right": "SELECT s.s_suppkey, n.n_name FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000",
-    "join_full": "SELECT a.c_custkey AS low_key, b.c_custkey AS high_key FROM (SELECT * FROM customer WHERE c_custkey < 60) a FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey > 40 AND c_custkey < 100) b ON a.c_custkey = b.c_custkey",
+    "join_full": "SELECT c.c_custkey AS customer_key, s.s_suppkey AS supplier_key FROM customer c FULL OUTER JOIN supplier s ON c.c_custkey = s.s_suppkey * 2",
     "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "join_comma": "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey",
     "join_self": "SELECT a.n_name AS one, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
     "join_semi_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
-    "join_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "join_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 150000)",
     "join_anti_in": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
     "join_theta": "SELECT a.r_name AS low, b.r_name AS high FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey",
     "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)",
@@ -87,7 +87,7 @@ SPARK: dict[str, str] = {
     "fn_date_trunc": "SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS STRING) AS month, count(*) AS n, min(datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE))) AS days FROM orders GROUP BY date_trunc('month', o_orderdate)",
     "fn_regexp": "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, split(p_type, ' ')[0] AS first_word FROM part",
     "fn_map": "SELECT o_orderpriority, CAST(size(map_keys(map_from_entries(collect_set(struct(o_orderstatus, 1))))) AS BIGINT) AS states FROM orders GROUP BY o_orderpriority",
-    "fn_explode": "SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(CAST(x AS DOUBLE), 5) AS x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) e AS pos, x",
+    "fn_explode": "SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(CAST(x AS DOUBLE), 5) AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x",
     "fn_higher_order": "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * x), CAST(0 AS DOUBLE), (a, x) -> a + x), 4) AS squares FROM embeddings",
 }
 STANDARD: dict[str, str] = {
@@ -96,7 +96,7 @@ STANDARD: dict[str, str] = {
     "fn_date_trunc": "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, count(*) AS n, min(date_diff('day', o_orderdate::DATE, DATE '2000-01-01'))::INTEGER AS days FROM orders GROUP BY date_trunc('month', o_orderdate)",
     "fn_regexp": "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, string_split(p_type, ' ')[1] AS first_word FROM part",
     "fn_map": "SELECT o_orderpriority, count(DISTINCT o_orderstatus) AS states FROM orders GROUP BY o_orderpriority",
-    "fn_explode": "SELECT vec_id, i::BIGINT AS pos, round(embedding[i + 1]::DOUBLE, 5) AS x FROM embeddings, range(3) t(i)",
+    "fn_explode": "SELECT vec_id, i::BIGINT AS pos, round(embedding[i + 1]::DOUBLE, 5) AS x FROM embeddings, range(len(embedding)) t(i)",
     "fn_higher_order": "SELECT vec_id, round(list_sum([x::DOUBLE * x for x in embedding]), 4) AS squares FROM embeddings",
 }
 

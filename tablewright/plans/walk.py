@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.plans.errors import QuerySyntaxError
 from tablewright.sources.registry import SQL_SETTINGS, settings
@@ -19,6 +20,13 @@ READING = {
 }
 
 
+#: Expressions, unresolved or resolved, by which a query could run code, read files or tell of the session.
+REFUSED_EXPRESSIONS = {
+    "ExpressionWithUnresolvedIdentifier", "CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "CurrentUser", "ScalaUDF", "PythonUDF", "PythonUDAF", "ScalaAggregator", "ScalaUDAF",
+    "ApplyFunctionExpression", "HiveSimpleUDF", "HiveGenericUDF", "HiveUDAFFunction", "HiveGenericUDTF", "ScalarSubqueryReference", "UnresolvedTableValuedFunction",
+}
+
+
 @dataclass
 class Node:
     """A plan node: its class, children, plans of subqueries in its expressions, and what else the checks need."""
@@ -31,6 +39,9 @@ class Node:
     alias: str = ""
     columns: list[tuple[str, ...]] = field(default_factory=list)
     outputs: list[str] = field(default_factory=list)
+    #: Names that a projection gives, in order: "*" for all of its sources, ("a", "*") for those of one, None if it has none.
+    gives: list[str | tuple[str, str] | None] = field(default_factory=list)
+    functions: list[tuple[str, ...]] = field(default_factory=list)
 
     def everything(self) -> Iterator[Node]:
         yield self
@@ -46,16 +57,31 @@ def _simple(obj: object) -> str:
     return obj.getClass().getSimpleName().rstrip("$")
 
 
-def _expressions(expression: object, node: Node) -> None:
+def _expressions(expression: object, node: Node, columns: bool = True) -> None:
     kind = _simple(expression)
-    if kind == "UnresolvedAttribute":
+    if kind == "UnresolvedAttribute" and columns:
         node.columns.append(tuple(str(x) for x in _items(expression.nameParts())))
-    elif kind == "Alias":
+    elif kind == "Alias" and columns:
         node.outputs.append(expression.name())
-    elif kind == "LambdaFunction":
-        return  # its variables aren't columns
+    elif kind == "UnresolvedFunction":
+        node.functions.append(tuple(str(x).lower() for x in _items(expression.nameParts())))
+    elif kind == "UnresolvedGenerator":
+        node.functions.append((str(expression.name().funcName()).lower(),))
+    elif kind in REFUSED_EXPRESSIONS:
+        node.functions.append((kind,))
+    # a lambda's variables aren't columns, but its functions count
     for child in _items(expression.children()):
-        _expressions(child, node)
+        _expressions(child, node, columns and kind != "LambdaFunction")
+
+
+def _gives(expression: object) -> str | tuple[str, str] | None:
+    kind = _simple(expression)
+    if kind == "UnresolvedStar":
+        target = expression.target()
+        return "*" if target.isEmpty() else (str(_items(target.get())[-1]), "*")
+    if kind == "UnresolvedAttribute":
+        return str(_items(expression.nameParts())[-1])
+    return str(expression.name()) if kind == "Alias" else None
 
 
 def _node(plan: object) -> Node:
@@ -66,8 +92,10 @@ def _node(plan: object) -> Node:
         node.alias = str(plan.alias())
     elif node.kind == "UnresolvedWith":
         node.ctes = [(str(x._1()), _node(x._2())) for x in _items(plan.cteRelations())]
-    for expression in _items(plan.expressions()):
+    for expression in [plan.generator()] if node.kind == "Generate" else _items(plan.expressions()):  # a generator's outputs are no references
         _expressions(expression, node)
+    if node.kind in ("Project", "Aggregate"):
+        node.gives = [_gives(x) for x in _items(plan.projectList() if node.kind == "Project" else plan.aggregateExpressions())]
     node.children = [_node(x) for x in _items(plan.children())]
     node.subqueries = [_node(x) for x in _items(plan.subqueries())]
     return node
@@ -81,16 +109,64 @@ def parse(spark: SparkSession, query: str) -> Node:
         with settings(spark, SQL_SETTINGS):
             return _node(spark._jsparkSession.sessionState().sqlParser().parsePlan(query))
     except ParseException as error:
-        lines = [x for x in str(error).splitlines() if x.strip()]
-        raise QuerySyntaxError(f"the query cannot be parsed: {lines[0]}", errors=[{"description": lines[0], "condition": error.getCondition(), **(error.getMessageParameters() or {})}]) from None
+        raise QuerySyntaxError(f"the query cannot be parsed: {_first_line(error)}", errors=[syntax_details(query, str(error))]) from None
     except AnalysisException as error:
-        raise QuerySyntaxError(str(error).splitlines()[0], errors=[]) from None
+        raise QuerySyntaxError(_first_line(error), errors=[syntax_details(query, str(error))]) from None
     except Exception as error:  # py4j wraps what the converter doesn't know
         if "ParseException" in str(error):
-            raise QuerySyntaxError(str(error).splitlines()[0], errors=[]) from None
+            raise QuerySyntaxError(_first_line(error), errors=[syntax_details(query, str(error))]) from None
         raise
 
 
+#: Characters of context that are told on either side of a syntax error.
+CONTEXT = 40
+
+
+def _first_line(error: object) -> str:
+    return next((x for x in str(error).splitlines() if x.strip()), "")
+
+
+def syntax_details(query: str, message: str) -> dict[str, object]:
+    """description, line, col (from 1), start_context, highlight and end_context of a parser's message."""
+    found = re.search(r"\(line (\d+), pos (\d+)\)", message)
+    description = re.sub(r"\s*\(line \d+, pos \d+\)|\s*SQLSTATE: \w+", "", _first_line(message)).strip()
+    lines = query.splitlines(keepends=True) or [""]
+    line, column = (int(found[1]), int(found[2])) if found else (len(lines), len(lines[-1].rstrip()))
+    at = min(len(query), sum(map(len, lines[: line - 1])) + column)
+    mark = re.compile(r"\w+|\S").match(query, at)
+    end = mark.end() if mark else at
+    return {"description": description, "line": line, "col": column + 1, "start_context": query[max(0, at - CONTEXT) : at], "highlight": query[at:end], "end_context": query[end : end + CONTEXT]}
+
+
+def refused_expressions(frame: DataFrame) -> list[str]:
+    """Expressions of an analysed query that it may not use, but for those inside the tables that it reads."""
+    found: list[str] = []
+
+    def of(expression: object) -> None:
+        kind = _simple(expression)
+        if kind in REFUSED_EXPRESSIONS:
+            found.append(kind)
+        for child in _items(expression.children()):
+            of(child)
+
+    def visit(plan: object) -> None:
+        if _simple(plan) == "View":
+            return
+        for expression in _items(plan.expressions()):
+            of(expression)
+        for child in [*_items(plan.children()), *_items(plan.subqueries()), *_items(plan.innerChildren())]:
+            visit(child)
+
+    visit(frame._jdf.queryExecution().analyzed())
+    return found
+
+
+def known_functions(spark: SparkSession) -> frozenset[str]:
+    """Names of Spark's own functions."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().listFunction()
+    return frozenset(str(x.funcName()).lower() for x in _items(names))
+
+
 def tables(node: Node, hidden: frozenset[str] = frozenset()) -> list[tuple[str, ...]]:
     """Names of the relations that a plan reads, without those that a WITH clause in scope defines."""
     found = []

@@ -267,3 +267,67 @@ def test_stream_batches_become_tables(kit, spark, tmp_path):
     query = register_batches(kit, spark.readStream.schema("id long").parquet(str(tmp_path / "in")), "batch", str(tmp_path / "state"))
     assert query.awaitTermination(60)
     assert kit.get_dataframe("batch_0").count() == 10
+
+
+KNOWN = {"users": ["id", "name"], "orders": ["id", "user_id", "total"]}
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM users", "SELECT id FROM users WHERE reflect('java.lang.System', 'exit', 1) = 'x'", "SELECT id FROM users ORDER BY try_reflect('a', 'b')",
+        "SELECT transform(array(1), x -> java_method('a', 'b')) FROM users", "SELECT (SELECT max(reflect('a', 'b')) FROM orders) FROM users", "WITH t AS (SELECT input_file_name() AS f FROM users) SELECT f FROM t",
+        "SELECT IDENTIFIER('java_method')('a', 'b') FROM users", "SELECT count(*) FROM users GROUP BY java_method('a', 'b')", "SELECT sum(id) FILTER (WHERE reflect('a', 'b') = 'x') FROM users", "SELECT current_user() FROM users", "SELECT nobody_knows(id) FROM users",
+        "SELECT spark_catalog.default.f(id) FROM users", "SELECT u.id FROM users u JOIN orders o ON java_method('a', 'b') = 'x'",
+    ],
+)
+def test_functions_that_reach_beyond_the_tables_are_refused(spark, query):
+    with pytest.raises(QueryCommandError):
+        validate(spark, query, KNOWN)
+
+
+def test_a_named_window_hides_nothing(spark):
+    kit = DataFrameToolkit()
+    table = kit.register_dataframe("t", spark.createDataFrame([(1, 2)], "a int, b int")).id
+    for query in (f"SELECT sum(a) OVER w AS s FROM {table} WINDOW w AS (PARTITION BY java_method('java.lang.System', 'getProperty', 'user.home'))", f"SELECT a FROM {table} LATERAL VIEW explode(array(reflect('java.lang.System', 'getProperty', 'user.home'))) e AS x"):
+        assert kit.execute_sql(query=query, result_name="r").error_type == "SQLBlacklistedCommand"
+    assert kit.execute_sql(query=f"SELECT sum(a) OVER w AS s, upper(string(b)) AS u FROM {table} WINDOW w AS (PARTITION BY b)", result_name="fine").num_rows == 1
+
+
+def test_callers_can_forbid_commands(spark):
+    assert validate(spark, "SELECT id FROM users", KNOWN, blacklist=["drop"]) == ["users"]
+    with pytest.raises(QueryCommandError, match="SELECT"):
+        validate(spark, "SELECT id FROM users", KNOWN, blacklist=["Select"])
+    with pytest.raises(QueryCommandError):
+        validate(spark, "DROP TABLE users", KNOWN, blacklist=[])
+
+
+def test_syntax_errors_tell_the_place(spark):
+    with pytest.raises(QuerySyntaxError) as told:
+        validate(spark, "SELECT id\nFROM users WHER id = 3", KNOWN)
+    (error,) = told.value.details["errors"]
+    assert set(error) == {"description", "line", "col", "start_context", "highlight", "end_context"}
+    assert error["line"] == 2 and error["start_context"] + error["highlight"] + error["end_context"] == "SELECT id\nFROM users WHER id = 3" and error["highlight"] == "id" and error["col"] == 17
+
+
+def test_all_column_errors_with_derived_tables_and_ctes(spark):
+    for query, wrong in [
+        ("WITH t AS (SELECT id AS k, nope FROM users) SELECT k, missing, t.worse FROM t JOIN orders ON orders.bad = t.k", ["nope", "missing", "t.worse", "orders.bad"]),
+        ("SELECT d.n, d.x, y FROM (SELECT name AS n FROM users) d", ["d.x", "y"]),
+        ("SELECT d.id, total FROM (SELECT * FROM orders) d WHERE z = 1", ["z"]),
+        ("SELECT a.name, id FROM users a JOIN (SELECT id, user_id FROM orders) b ON a.id = b.user_id", ["id"]),
+        ("WITH a AS (SELECT id FROM users), b AS (SELECT a.*, 1 AS one FROM a) SELECT id, one, two FROM b", ["two"]),
+    ]:
+        with pytest.raises(QueryColumnError) as told:
+            validate(spark, query, KNOWN)
+        assert [e.split("'")[1] for e in told.value.details["errors"]] == wrong or sorted(e.split("'")[1] for e in told.value.details["errors"]) == sorted(wrong), told.value
+    for query in ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT n, id FROM r, users", "SELECT x.k FROM (SELECT id AS k FROM users UNION ALL SELECT user_id FROM orders) x WHERE k > 1 ORDER BY k", "SELECT name, p FROM users LATERAL VIEW explode(array(1)) e AS p", "SELECT upper(name) AS u FROM users GROUP BY u HAVING count(*) > 1 ORDER BY u"):
+        assert "users" in validate(spark, query, KNOWN)
+
+
+def test_names_of_the_package():
+    import tablewright
+
+    for name in tablewright.__all__:
+        assert getattr(tablewright, name) is not None
+    assert issubclass(tablewright.QueryColumnError, tablewright.QueryError)

@@ -136,3 +136,25 @@ def test_tool_turns_value_errors_into_answers(spark):
         found = call(**bad)
         assert found.error_type == "InvalidArgument" and why in found.message, (bad, found)
     kit.unregister_dataframe("t")
+
+
+def test_rules_part_all_rows_with_missing_values(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(600):
+        g = [None, "None", "a", "b"][int(rng.integers(4))]
+        x = None if rng.random() < 0.3 else float(rng.integers(0, 20))
+        b = [None, True, False][int(rng.integers(3))]
+        rows.append((g, x, b, ("p" if g is None else "q" if g == "None" else "r" if x is None else "s" if x > 9 else "t") + str(b is None)))
+    frame = spark.createDataFrame(rows, "g string, x double, b boolean, y string")
+    result = analyze(frame, ["g", "x", "b"], "y")
+    kinds = {f.name: f.dataType for f in frame.schema}
+    matches = []
+    for rule in result.rules:
+        test = F.lit(True)
+        for p in rule.predicates:
+            test = test & p.column(kinds[p.variable])
+        matches.append(test.cast("int"))
+        assert frame.where(test).count() == rule.samples
+    assert frame.where(sum(matches[1:], matches[0]) != 1).count() == 0
+    assert result.metrics["accuracy"] > 0.95 and any(p.nulls for r in result.rules for p in r.predicates)
