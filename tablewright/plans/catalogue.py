@@ -87,7 +87,7 @@ SPARK: dict[str, str] = {
     "fn_date_trunc": "SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS STRING) AS month, count(*) AS n, min(datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE))) AS days FROM orders GROUP BY date_trunc('month', o_orderdate)",
     "fn_regexp": "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, split(p_type, ' ')[0] AS first_word FROM part",
     "fn_map": "SELECT o_orderpriority, CAST(size(map_keys(map_from_entries(collect_set(struct(o_orderstatus, 1))))) AS BIGINT) AS states FROM orders GROUP BY o_orderpriority",
-    "fn_explode": "SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(CAST(x AS DOUBLE), 5) AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x",
+    "fn_explode": "SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(CAST(x AS DOUBLE), 5) + 0.0D AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x",
     "fn_higher_order": "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * x), CAST(0 AS DOUBLE), (a, x) -> a + x), 4) AS squares FROM embeddings",
 }
 STANDARD: dict[str, str] = {
@@ -96,7 +96,7 @@ STANDARD: dict[str, str] = {
     "fn_date_trunc": "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, count(*) AS n, min(date_diff('day', o_orderdate::DATE, DATE '2000-01-01'))::INTEGER AS days FROM orders GROUP BY date_trunc('month', o_orderdate)",
     "fn_regexp": "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, string_split(p_type, ' ')[1] AS first_word FROM part",
     "fn_map": "SELECT o_orderpriority, count(DISTINCT o_orderstatus) AS states FROM orders GROUP BY o_orderpriority",
-    "fn_explode": "SELECT vec_id, i::BIGINT AS pos, round(embedding[i + 1]::DOUBLE, 5) AS x FROM embeddings, range(len(embedding)) t(i)",
+    "fn_explode": "SELECT vec_id, i::BIGINT AS pos, round(embedding[i + 1]::DOUBLE, 5) + 0.0 AS x FROM embeddings, range(len(embedding)) t(i)",
     "fn_higher_order": "SELECT vec_id, round(list_sum([x::DOUBLE * x for x in embedding]), 4) AS squares FROM embeddings",
 }
 
