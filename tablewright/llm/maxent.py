@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.llm import blocks
-from tablewright.llm.shared import bernoulli, cut, map_arrow, text_column
+from tablewright.llm.shared import cut, map_arrow, text_column
 
 #: Words counted in dense arrays, and documents from which they are picked.
 LISTED = 1 << 16
@@ -31,7 +31,8 @@ SAMPLE_DOCS = 3_000
 CLASSES = 32
 MEMBERS = 32
 RARE_CLASSES = 8
-#: Rows of the class features (a skip each) and of the hashed pairs; rows of the member features.
+#: Rows of the class features (a skip each), least rows of the hashed pairs (they grow with the corpus, see ``pair_rows``) and
+#: rows of the member features.
 CLASS_ROWS = 2_048
 PAIR_ROWS = 4_096
 MEMBER_ROWS = 256
@@ -47,7 +48,6 @@ FAN_IN = 64
 _TABLE = blocks.split_table(blocks.BLANKS, lower=True)
 OUTPUTS = CLASSES + 1 + RARE_CLASSES
 END_CLASS = CLASSES
-FEATURES = SKIPS * CLASS_ROWS + PAIR_ROWS
 
 
 @dataclass
@@ -66,7 +66,7 @@ class Model:
     slot: np.ndarray  # of each listed word: its number in the model, or -1
     class_bias: np.ndarray
     member_bias: np.ndarray
-    class_weights: np.ndarray  # (FEATURES, OUTPUTS)
+    class_weights: np.ndarray  # (SKIPS * CLASS_ROWS + pair rows, OUTPUTS)
     member_weights: np.ndarray  # (SKIPS * MEMBER_ROWS, CLASSES, MEMBERS)
 
 
@@ -105,6 +105,11 @@ def _spread(values: np.ndarray, place: np.ndarray, total: int, kind: type, rest:
     return out
 
 
+def pair_rows(tokens: int) -> int:
+    """Rows of hashed pairs for so many training tokens: the power of two from their square root on."""
+    return max(PAIR_ROWS, 1 << int(np.ceil(np.log2(max(1, tokens) ** 0.5))))
+
+
 def _rows(tokens: Tokens, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class features (SKIPS + 1 rows), member features (SKIPS rows), class and model slot of every token."""
     slot = np.where(tokens.at >= 0, model.slot[tokens.at], -1) if len(model.slot) else np.full(len(tokens.at), -1)
@@ -121,7 +126,7 @@ def _rows(tokens: Tokens, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
         seen.append(np.where(known, wide[back], CLASS_ROWS - 1))
         classes.append(seen[-1] + (skip - 1) * CLASS_ROWS)
         members.append(np.where(known, narrow[back], MEMBER_ROWS - 1) + (skip - 1) * MEMBER_ROWS)
-    classes.append((seen[0] * 31_337 + seen[1] * 7_919) % PAIR_ROWS + SKIPS * CLASS_ROWS)
+    classes.append((seen[0] * 31_337 + seen[1] * 7_919) % (len(model.class_weights) - SKIPS * CLASS_ROWS) + SKIPS * CLASS_ROWS)
     kind = np.where(tokens.end, END_CLASS, np.where(slot >= 0, slot // MEMBERS, CLASSES + 1 + tokens.spelling % RARE_CLASSES))
     return np.array(classes), np.array(members), kind, slot
 
@@ -174,7 +179,7 @@ class Trainer:
 
     def __init__(self, model: Model, step: float = STEP) -> None:
         self.model = Model(model.counts, model.slot, model.class_bias, model.member_bias, model.class_weights.copy(), model.member_weights.copy())
-        self.class_squares = np.full((FEATURES, OUTPUTS), 1e-2, np.float32)
+        self.class_squares = np.full(model.class_weights.shape, 1e-2, np.float32)
         self.member_squares = np.full(self.model.member_weights.shape, 1e-2, np.float32)
         self.step, self.seen = step, 0
 
@@ -215,9 +220,12 @@ def _prepared(docs: DataFrame, key: Column, text: Column, training: Column) -> D
 
 
 def _listed(rows: DataFrame, most: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints, sorted, and spellings of the ``most`` frequent words of about ``sample`` training documents."""
+    """Fingerprints, sorted, and spellings of the ``most`` frequent words of about ``sample`` training documents.
+
+    Rows are drawn, not texts, so that a text with many copies is drawn as often as it occurs, neither never nor always.
+    """
     n = rows.where("train").count()
-    drawn = rows.where(F.col("train") & bernoulli(F.col("text"), 10, sample / max(1, n))).select("text")
+    drawn = rows.where("train").where(F.rand(10) < sample / max(1, n)).select("text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,19 +276,27 @@ def _other_words(rows: DataFrame, listed: np.ndarray) -> DataFrame:
             for block in blocks.blocks(text_column(batch, "text"), _TABLE):
                 tokens = tokens_of(block, sent.value)
                 rest = np.flatnonzero((tokens.at < 0) & ~tokens.end)
-                doc = block.first + tokens.text[rest]
+                doc, word = block.first + tokens.text[rest], tokens.hash[rest]
+                # a word that fills one text is one row of it
+                order = np.lexsort((word, doc))
+                rest, doc, word = rest[order], doc[order], word[order]
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1]))[: len(rest)])
+                n = np.diff(np.append(first, len(rest)))
+                rest, doc, word = rest[first], doc[first], word[first]
                 mark = (tokens.spelling[rest] % RARE_CLASSES) * 2 + train[doc].astype(np.int64)
                 for a in range(0, len(rest), 50_000):
                     part = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens.hash[rest[part]].view(np.int64)), pa.array(row[doc[part]].astype(np.int64)), pa.array(mark[part])], ["h", "row", "mark"])
+                    yield pa.RecordBatch.from_arrays([pa.array(word[part].view(np.int64)), pa.array(row[doc[part]].astype(np.int64)), pa.array((n[part] << 8) | mark[part])], ["h", "row", "mark"])
 
+    # mark: how often the word stands in the row, its spelling, and whether the row is for training
     words = map_arrow(rows.select("text", "train", "row"), step, "h bigint, row bigint, mark bigint")
     same = Window.partitionBy("h").orderBy("row")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = words.select("h", "row", "mark", F.sum(F.col("mark").bitwiseAND(1)).over(whole).alias("c"), F.row_number().over(same).alias("nth"))
+    n, learned, spelling = F.shiftright("mark", 8), F.col("mark").bitwiseAND(1), F.shiftright("mark", 1).bitwiseAND(127)
+    counted = words.select("h", "row", "mark", F.sum(n * learned).over(whole).alias("c"), F.row_number().over(same).alias("nth"))
     head = (F.col("nth") == 1) & (F.col("c") > 0)
-    masses = [F.sum(F.when(head & (F.shiftright("mark", 1) == k), F.col("c") + 1).otherwise(0)).alias(f"mass{k}") for k in range(RARE_CLASSES)]
-    sums = [F.count(F.lit(1)).alias("tokens"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"), F.sum((F.col("c") > 0).cast("bigint")).alias("known"), F.sum(head.cast("bigint")).alias("types"), F.sum(F.col("mark").bitwiseAND(1)).alias("trained")]
+    masses = [F.sum(F.when(head & (spelling == k), F.col("c") + 1).otherwise(0)).alias(f"mass{k}") for k in range(RARE_CLASSES)]
+    sums = [F.sum(n).alias("tokens"), F.sum(n * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known"), F.sum(head.cast("bigint")).alias("types"), F.sum(n * learned).alias("trained")]
     return cut(counted.groupBy("row").agg(*sums, *masses))
 
 
@@ -296,7 +312,7 @@ def _unigram_model(counts: Counts) -> Model:
     sums[END_CLASS] = counts.ends
     sums[END_CLASS + 1 :] = counts.rare_mass
     bias = np.log((sums + 0.5) / (sums + 0.5).sum())
-    return Model(counts, slot, bias.astype(np.float32), member.reshape(CLASSES, MEMBERS).astype(np.float32), np.zeros((FEATURES, OUTPUTS), np.float32), np.zeros((SKIPS * MEMBER_ROWS, CLASSES, MEMBERS), np.float32))
+    return Model(counts, slot, bias.astype(np.float32), member.reshape(CLASSES, MEMBERS).astype(np.float32), np.zeros((SKIPS * CLASS_ROWS + pair_rows(counts.tokens), OUTPUTS), np.float32), np.zeros((SKIPS * MEMBER_ROWS, CLASSES, MEMBERS), np.float32))
 
 
 def _sum_slices(parts: DataFrame, keys: list[str]) -> DataFrame:

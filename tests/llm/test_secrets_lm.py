@@ -131,3 +131,21 @@ def test_probabilities_sum_to_one():
     assert classes.sum() == pytest.approx(1)
     members, _ = maxent._softmax(maxent._member_logits(model, np.array([[3], [300], [600]]), np.array([0])))
     assert members.sum() == pytest.approx(1)
+
+
+def test_pair_rows_grow_with_the_corpus():
+    assert maxent.pair_rows(0) == maxent.PAIR_ROWS and maxent.pair_rows(10**8) == 1 << 14 and maxent.pair_rows(10**10) == 1 << 17
+    counts = maxent.Counts(np.sort(np.random.default_rng(1).integers(0, 1 << 60, 50, dtype=np.uint64)), np.arange(1, 51), 10, tokens=10**8)
+    assert len(maxent._unigram_model(counts).class_weights) == maxent.SKIPS * maxent.CLASS_ROWS + (1 << 14)
+
+
+def test_hot_words_and_copies(spark, prose):
+    """A word that fills one text and a text that many rows repeat: counts stay exact, and few rows are shuffled."""
+    hot = spark.createDataFrame([(5_000, "zyzzyva " * 50_000)], "doc_id long, text string")
+    copies = spark.range(3_000).select((F.col("id") + 10_000).alias("doc_id"), F.lit("a text of copies with qwfp").alias("text"))
+    docs = prose.select("doc_id", "text").unionAll(hot).unionAll(copies).withColumn("train", F.col("doc_id") % 7 != 2)
+    got = {r["key"]: r for r in maxent.score(docs, F.col("doc_id"), F.col("text"), F.col("train"), listed=8, sample=100).collect()}
+    for i, n, known, tokens, base in _brute([tuple(r) for r in docs.collect()]):
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n, known, tokens) and got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+    rows = maxent._prepared(docs, F.col("doc_id"), F.col("text"), F.col("train"))
+    assert maxent._listed(rows, 1 << 16, 100)[0].size > 0
