@@ -41,8 +41,9 @@ def preview(table: Snapshot, columns: Sequence[str] | None = None, num_rows: int
     cut = lambda rows: [list(r)[:-1] for r in rows]
     if sampled:
         return markdown(names, cut(sample(shown, num_rows, seed).orderBy(ROW).collect()))
-    first = shown.orderBy(ROW).limit(num_rows + 1).collect()
+    # Row numbers grow with the partitions: taking reads the first partitions only, or the last.
+    first = shown.take(num_rows + 1)
     if len(first) <= num_rows:
         return markdown(names, cut(first))
-    head, tail = first[: -(-num_rows // 2)], shown.orderBy(F.desc(ROW)).limit(num_rows // 2).collect()[::-1] if num_rows > 1 else []
-    return markdown(names, [*cut(head), ["…"] * len(names), *cut(tail)])
+    half = num_rows // 2
+    return markdown(names, [*cut(first[: num_rows - half]), ["…"] * len(names), *cut(shown.tail(half) if half else [])])

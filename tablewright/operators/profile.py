@@ -1,41 +1,87 @@
-"""Column profiles: one job for counts and moments, one for order statistics, however many columns."""
+"""Column profiles: one pass for counts, extremes and moments; one aggregate of each column by itself for unique values and ranks."""
 
 from __future__ import annotations
 
 import datetime
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tablewright.functions.columns import as_number, is_instant, is_numeric, named, without_nan
-from tablewright.operators.order import running
 from tablewright.sources.models import ColumnSummary, DataFrameReference, new_table_id
 
 PERCENTILES = (0.25, 0.5, 0.75)
+#: Columns whose aggregates make one job, so that plans of wide tables stay small.
+BLOCK = 64
 
 
 def _comparable(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StringType, T.BooleanType)) or is_numeric(kind) or is_instant(kind) or isinstance(kind, T.DayTimeIntervalType)
 
 
+def _parts(frame: DataFrame, columns: Sequence[str], one: Callable[[DataFrame, int, str], DataFrame]) -> Iterator[DataFrame]:
+    """What ``one`` makes of each column, a frame for up to BLOCK columns. Every column is scanned and grouped by itself, in its own type."""
+    for at in range(0, len(columns), BLOCK):
+        yield reduce(DataFrame.unionAll, (one(frame.select(named(c).alias("own")), i, c) for i, c in enumerate(columns) if at <= i < at + BLOCK))
+
+
+def _uniques(frame: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct values of each column but null."""
+
+    def one(values: DataFrame, i: int, c: str) -> DataFrame:
+        nested = isinstance(frame.schema[c].dataType, (T.MapType, T.VariantType))
+        return values.agg(F.lit(i).alias("c"), F.count_distinct(F.to_json("own") if nested else F.col("own")).alias("u"))
+
+    return {columns[r["c"]]: r["u"] for block in _parts(frame, columns, one) for r in block.collect()}
+
+
+def _ordered(frame: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> dict[str, tuple[int, list[float | None]]]:
+    """Distinct values but null, and values at nearest ranks, of columns that are numbers in order.
+
+    Values are counted, dealt by ranges of (column, value), and each range's size is told to the driver: at most a row for
+    every range and one more for every column. Only the ranges that hold a wanted rank are then sorted.
+    """
+
+    def one(values: DataFrame, i: int, c: str) -> DataFrame:
+        counts = values.where("own is not null").groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+        return counts.select(F.lit(i).alias("c"), as_number(F.col("own"), frame.schema[c].dataType).alias("v"), "n")
+
+    found: dict[str, tuple[int, list[float | None]]] = {c: (0, [None] * len(fractions)) for c in columns}
+    for block in _parts(frame, columns, one):
+        dealt = block.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        sizes: dict[int, list] = {}
+        for r in dealt.groupBy("c", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u")).orderBy("c", "part").collect():
+            sizes.setdefault(r["c"], []).append(r)
+        wanted = []
+        for i, parts in sizes.items():
+            total = sum(r["n"] for r in parts)
+            found[columns[i]] = (sum(r["u"] for r in parts), [None] * len(fractions))
+            for k, f in enumerate(fractions):
+                at = math.floor((total - 1) * f + 0.5)
+                for r in parts:
+                    if at < r["n"]:
+                        wanted.append((i, r["part"], k, at))
+                        break
+                    at -= r["n"]
+        if wanted:
+            marks = F.broadcast(frame.sparkSession.createDataFrame(wanted, "c int, part int, k int, at long"))  # a row a column and fraction
+            held = dealt.join(F.broadcast(marks.select("c", "part").distinct()), ["c", "part"], "left_semi")
+            run = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+            for r in held.withColumn("run", run).join(marks, ["c", "part"]).where("at < run and at >= run - n").select("c", "k", "v").collect():
+                found[columns[r["c"]]][1][r["k"]] = r["v"]
+        dealt.unpersist()
+    return found
+
+
 def nearest_ranks(frame: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> dict[str, list[float | None]]:
     """Values at index floor((n - 1) f + 1/2) of each sorted column (nulls left out, NaN last), never interpolated."""
-    if not columns:
-        return {}
-    kinds = {c: frame.schema[c].dataType for c in columns}
-    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), as_number(named(c), kinds[c]).alias("v")) for i, c in enumerate(columns))))
-    counts = frame.select(pairs.alias("x")).select("x.c", "x.v").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running(counts, ["c"], "v", ["n"])
-    sizes = F.broadcast(counts.groupBy("c").agg(F.sum("n").alias("size")))  # a row a column
-    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor((F.col("size") - 1) * F.lit(float(f)) + 0.5).alias("at")) for i, f in enumerate(fractions))))
-    placed = ranked.join(sizes, "c").select("c", "v", "n", "run_n", wanted.alias("w")).where("w.at < run_n and w.at >= run_n - n")
-    found: dict[str, list[float | None]] = {c: [None] * len(fractions) for c in columns}
-    for r in placed.select("c", "v", "w.k").collect():
-        found[columns[r["c"]]][r["k"]] = r["v"]
-    return found
+    return {c: values for c, (_, values) in _ordered(frame, columns, fractions).items()}
 
 
 def _moment(value: float | None, kind: T.DataType) -> float | str | None:
@@ -70,11 +116,10 @@ def profile(frame: DataFrame, columns: Sequence[str] | None = None, descriptions
     for i, c in enumerate(columns):
         kind, x = frame.schema[c].dataType, named(c)
         aggs.append(F.count(x).alias(f"count{i}"))
-        hashable = x if not isinstance(kind, (T.MapType, T.VariantType)) else F.to_json(x)
-        aggs.append(F.count_distinct(hashable).alias(f"unique{i}"))
         if _comparable(kind):
             low = without_nan(x, kind)
-            aggs += [F.min(low).cast("string" if not is_numeric(kind) else "double").alias(f"min{i}"), F.max(low).cast("string" if not is_numeric(kind) else "double").alias(f"max{i}")]
+            shown = "double" if is_numeric(kind) else "string"
+            aggs += [F.min(low).cast(shown).alias(f"min{i}"), F.max(low).cast(shown).alias(f"max{i}")]
         number = as_number(x, kind)
         if number is not None:
             aggs += [F.avg(number).alias(f"mean{i}"), F.stddev_samp(number).alias(f"std{i}")]
@@ -82,22 +127,23 @@ def profile(frame: DataFrame, columns: Sequence[str] | None = None, descriptions
                 ranked.append(c)
     row = frame.agg(*aggs).first().asDict()
     n = row["n"]
-    ranks = nearest_ranks(frame, [c for c in ranked if n], PERCENTILES)
+    ranks = _ordered(frame, ranked if n else [], PERCENTILES)
+    uniques = _uniques(frame, [c for c in columns if n and c not in ranks])
     found = {}
     for i, c in enumerate(columns):
         kind = frame.schema[c].dataType
-        quarter = [_moment(v, kind) for v in ranks.get(c, [None] * 3)]
+        unique, quarter = ranks.get(c, (uniques.get(c, 0), [None] * 3))
         found[c] = ColumnSummary(
             description=(descriptions or {}).get(c, ""),
             dtype=kind.simpleString(),
             count=row[f"count{i}"],
             null_count=n - row[f"count{i}"],
-            unique_count=row[f"unique{i}"] + (n > row[f"count{i}"]),
+            unique_count=unique + (n > row[f"count{i}"]),
             min=row.get(f"min{i}"),
             max=row.get(f"max{i}"),
             mean=_moment(row.get(f"mean{i}"), kind),
             std=row.get(f"std{i}"),
-            **dict(zip(("p25", "p50", "p75"), quarter)),
+            **{p: _moment(v, kind) for p, v in zip(("p25", "p50", "p75"), quarter)},
         )
     return found, n
 
