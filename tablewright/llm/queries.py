@@ -94,6 +94,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        h AS (SELECT page_id, octet_length(payload)::BIGINT AS n, sha1(payload) AS x FROM p),
+        d AS (SELECT page_id, n, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1) FOR i IN range(32)], '') AS digest FROM h),
+        l AS (SELECT *, max(page_id) OVER (PARTITION BY n, digest) AS response FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to FROM l
+    """,
     "op9_line_dedup": r"""
         WITH d AS (SELECT DISTINCT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         r AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM d),
