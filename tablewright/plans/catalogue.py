@@ -60,12 +60,14 @@ SHARED: dict[str, str] = {
     "agg_rollup": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)",
     "agg_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "agg_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "agg_approx_distinct": "SELECT event_type, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.2 * count(DISTINCT user_id) AS near FROM events GROUP BY event_type",
     "agg_stddev": "SELECT event_type, round(stddev_samp(value), 6) AS deviation, round(var_pop(value), 4) AS variance FROM events GROUP BY event_type",
     "win_sum_partition": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total FROM orders",
     "win_row_number": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders",
     "win_rank": "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS place, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS dense FROM part",
     "win_lag": "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS change, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events",
     "win_rows_frame": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving FROM events",
+    "win_range_frame": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS n FROM orders",
     "win_first_last": "SELECT o_orderkey, first_value(o_orderkey) OVER w AS first_order, last_value(o_orderkey) OVER w AS last_order FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
     "win_ntile": "SELECT s_suppkey, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS quarter FROM supplier",
     "order_by": "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_name",

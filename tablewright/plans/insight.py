@@ -195,6 +195,13 @@ def _split(columns: list[str]) -> str:
 _PRICE_LONG = """p AS (SELECT l_quantity AS x0, l_discount AS x1, l_extendedprice - avg(l_extendedprice) OVER () AS c0, l_extendedprice AS y FROM lineitem),
     long AS (SELECT 0 AS f, x0 AS v, 1 AS n, c0 FROM p UNION ALL SELECT 1, x1, 1, c0 FROM p),"""
 
+
+def price_split(rows: str) -> str:
+    """The best split (f, t, ml, gain) of some rows of p, whose least leaf is a share of all of p."""
+    text = _split(["c0"]).replace("floor(0.02 * an)", "floor(0.02 * (SELECT count(*) FROM p))")
+    return f"WITH r AS (SELECT * FROM {rows}), long AS (SELECT 0 AS f, x0 AS v, 1 AS n, c0 FROM r UNION ALL SELECT 1, x1, 1, c0 FROM r),{text} SELECT f, t, ml, gain FROM best"
+
+
 ORACLES: dict[str, str] = {
     "profile_numeric": " UNION ALL ".join(_numeric("lineitem", c) for c in ("l_quantity", "l_extendedprice", "l_linenumber")),
     "profile_string": " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS uniques, min({c}) AS low, max({c}) AS high FROM customer" for c in ("c_name", "c_mktsegment")),

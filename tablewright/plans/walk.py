@@ -107,7 +107,7 @@ def parse(spark: SparkSession, query: str) -> Node:
         raise QuerySyntaxError("the query is empty", errors=[])
     try:
         with settings(spark, SQL_SETTINGS):
-            return _node(spark._jsparkSession.sessionState().sqlParser().parsePlan(query))
+            plan = _node(spark._jsparkSession.sessionState().sqlParser().parsePlan(query))
     except ParseException as error:
         raise QuerySyntaxError(f"the query cannot be parsed: {_first_line(error)}", errors=[syntax_details(query, str(error))]) from None
     except AnalysisException as error:
@@ -116,6 +116,24 @@ def parse(spark: SparkSession, query: str) -> Node:
         if "ParseException" in str(error):
             raise QuerySyntaxError(_first_line(error), errors=[syntax_details(query, str(error))]) from None
         raise
+    _check_clauses(plan, query)
+    return plan
+
+
+#: Words that begin a clause. Spark takes them for a table's alias where the clause that they begin is missing.
+CLAUSES = frozenset({"WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "ON", "USING", "JOIN", "FROM", "SELECT", "UNION", "INTERSECT", "EXCEPT"})
+
+
+def _check_clauses(plan: Node, query: str) -> None:
+    for node in plan.everything():
+        if node.kind != "SubqueryAlias" or node.alias.upper() not in CLAUSES:
+            continue
+        places = [m for m in re.finditer(rf"""(["`]?)\b{node.alias}\b""", query, re.IGNORECASE)]
+        if any(not m[1] for m in places) and not any(m[1] for m in places):
+            before = query[: places[-1].start()]
+            at = f"(line {before.count(chr(10)) + 1}, pos {len(before) - before.rfind(chr(10)) - 1})"
+            message = f"nothing follows {node.alias.upper()}"
+            raise QuerySyntaxError(f"the query cannot be parsed: {message} {at}", errors=[syntax_details(query, f"{message} {at}")])
 
 
 #: Characters of context that are told on either side of a syntax error.

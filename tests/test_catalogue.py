@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tablewright.plans import catalogue, insight
+from tablewright.plans import cases, catalogue, insight
 
 DATA = "/root/testdata/sf0.001"
-KEYS = [*catalogue.SHARED, *catalogue.STANDARD, *insight.ORACLES]
+KEYS = [*catalogue.SHARED, *catalogue.STANDARD, *insight.ORACLES, *cases.ORACLES]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
