@@ -39,15 +39,15 @@ def filter_features(frame: DataFrame, columns: Sequence[str]) -> tuple[list[str]
     for i, c in enumerate(usable):
         aggs += [F.count(named(c)).alias(f"c{i}"), F.count_distinct(named(c)).alias(f"u{i}")]
     row = frame.agg(*aggs).first()
-    excluded = {c: "unsupported dtype" for c in columns if kinds[c] == "excluded"}
+    excluded = {c: "a type that cannot be split on" for c in columns if kinds[c] == "excluded"}
     for i, c in enumerate(usable):
         unique = row[f"u{i}"] + (row[f"c{i}"] < row["n"])
         if not row[f"c{i}"]:
-            excluded[c] = "all values are null"
+            excluded[c] = "no value in any row"
         elif unique <= 1:
-            excluded[c] = "single unique value"
+            excluded[c] = "the same in every row"
         elif kinds[c] == "categorical" and unique / row["n"] > MOST_DISTINCT_SHARE:
-            excluded[c] = "high cardinality: likely unique identifier"
+            excluded[c] = "over nine tenths of the rows have a label of their own"
     return [c for c in columns if c not in excluded], {c: excluded[c] for c in columns if c in excluded}
 
 
@@ -88,11 +88,13 @@ def encoders(frame: DataFrame, columns: Sequence[str]) -> list[Encoder]:
             continue
         distinct = frame.select(named(c).alias("label")).distinct()
         some = distinct.where("label is not null")
-        ranks = running(some.select(F.lit(0).alias("all"), "label", F.lit(1).cast("long").alias("one")), ["all"], "label", ["one"])
-        codes = ranks.select("label", (F.col("run_one") - 1).cast("double").alias("code"))
-        if not distinct.where("label is null").isEmpty():
-            codes = codes.unionAll(some.agg(F.lit(None).cast("string").alias("label"), F.count(F.lit(1)).cast("double").alias("code")))
-        found.append(Encoder(c, codes.persist()))
+        with running(some.select(F.lit(0).alias("all"), "label", F.lit(1).cast("long").alias("one")), ["all"], "label", ["one"]) as ranks:
+            codes = ranks.select("label", (F.col("run_one") - 1).cast("double").alias("code"))
+            if not distinct.where("label is null").isEmpty():
+                codes = codes.unionAll(some.agg(F.lit(None).cast("string").alias("label"), F.count(F.lit(1)).cast("double").alias("code")))
+            codes = codes.persist()
+            codes.count()  # before the ranks are released
+        found.append(Encoder(c, codes))
     return found
 
 

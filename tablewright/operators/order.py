@@ -5,13 +5,20 @@ Rows are dealt by ranges of (group, value); each range sums up on its own and st
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running(rows: DataFrame, group: list[str], value: str, sums: list[str]) -> DataFrame:
-    """``rows``, one per (group, value), with ``run_<sum>`` up to and with each row, and ``next_value`` (null at the end)."""
+@contextmanager
+def running(rows: DataFrame, group: list[str], value: str, sums: list[str]) -> Iterator[DataFrame]:
+    """``rows``, one per (group, value), with ``run_<sum>`` up to and with each row, and ``next_value`` (null at the end).
+
+    The dealt rows are kept until the block ends, so that both uses see the same ranges.
+    """
     dealt = rows.repartitionByRange(*group, value).withColumn("__range", F.spark_partition_id()).persist()
     part = Window.partitionBy("__range", *group).orderBy(value)
     inside = part.rowsBetween(Window.unboundedPreceding, 0)
@@ -21,4 +28,7 @@ def running(rows: DataFrame, group: list[str], value: str, sums: list[str]) -> D
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("__range", *group, *(F.coalesce(F.sum(f"__all_{s}").over(before), F.lit(0)).alias(f"__before_{s}") for s in sums), F.lead("__first").over(over).alias("__following"))
     joined = local.join(starts, ["__range", *group])
-    return joined.select(*rows.columns, *((F.col(f"__run_{s}") + F.col(f"__before_{s}")).alias(f"run_{s}") for s in sums), F.coalesce("__next", "__following").alias("next_value"))
+    try:
+        yield joined.select(*rows.columns, *((F.col(f"__run_{s}") + F.col(f"__before_{s}")).alias(f"run_{s}") for s in sums), F.coalesce("__next", "__following").alias("next_value"))
+    finally:
+        dealt.unpersist()

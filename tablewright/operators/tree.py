@@ -82,7 +82,6 @@ def best_splits(rows: DataFrame, features: int, sums: Sequence[str], floor: int,
     mine = rows.where(F.col("node").isin(list(open_nodes))).select("node", explode.alias("e"), *stats).select("node", "e.f", "e.v", *stats)
     grouped = mine.groupBy("node", "f", "v").agg(*(F.sum(s).alias(s) for s in stats)).persist()
     whole = grouped.groupBy("node", "f").agg(*(F.sum(s).alias(f"all_{s}") for s in stats), *(F.sum(F.when(F.col("v").isNull(), F.col(s)).otherwise(0)).alias(f"none_{s}") for s in stats))
-    ordered = running(grouped.where("v is not null"), ["node", "f"], "v", stats).where("next_value is not null").join(whole, ["node", "f"])
 
     def sides(missing_left: bool) -> tuple[Column, Column, Column]:
         left = {s: F.col(f"run_{s}") + (F.col(f"none_{s}") if missing_left else F.lit(0)) for s in stats}
@@ -90,9 +89,11 @@ def best_splits(rows: DataFrame, features: int, sums: Sequence[str], floor: int,
         gain = _side([left[s] for s in sums], left["n"]) + _side([right[s] for s in sums], right["n"]) - _side([F.col(f"all_{s}") for s in sums], F.col("all_n"))
         return left["n"], right["n"], gain
 
-    best = _best(ordered, sides, floor)
-    grouped.unpersist()
-    return best
+    try:
+        with running(grouped.where("v is not null"), ["node", "f"], "v", stats) as ordered:
+            return _best(ordered.where("next_value is not null").join(whole, ["node", "f"]), sides, floor)
+    finally:
+        grouped.unpersist()
 
 
 def _best(ordered: DataFrame, sides: Callable[[bool], tuple[Column, Column, Column]], floor: int) -> dict[int, Split]:
@@ -119,10 +120,7 @@ def best_class_splits(rows: DataFrame, features: int, floor: int, open_nodes: Se
     each = grouped.groupBy("node", "f", "class").agg(F.sum("n").alias("a"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("m"))
     product = lambda x, y: F.sum(F.col(x) * F.col(y))
     whole = each.groupBy("node", "f").agg(F.sum("a").alias("all_n"), F.sum("m").alias("none_n"), product("a", "a").alias("aa"), product("a", "m").alias("am"), product("m", "m").alias("mm"))
-    own = running(grouped.where("v is not null"), ["node", "f", "class"], "v", ["n"]).join(each, ["node", "f", "class"])
-    growth = own.select("node", "f", "v", "n", (F.col("n") * (2 * F.col("run_n") - F.col("n"))).alias("ll"), (F.col("n") * F.col("a")).alias("al"), (F.col("n") * F.col("m")).alias("ml"))
     stats = ["n", "ll", "al", "ml"]
-    ordered = running(growth.groupBy("node", "f", "v").agg(*(F.sum(s).alias(s) for s in stats)), ["node", "f"], "v", stats).where("next_value is not null").join(whole, ["node", "f"])
 
     def sides(missing_left: bool) -> tuple[Column, Column, Column]:
         n, ll, al = F.col("run_n"), F.col("run_ll"), F.col("run_al")
@@ -131,9 +129,14 @@ def best_class_splits(rows: DataFrame, features: int, floor: int, open_nodes: Se
         rest = F.col("all_n") - n
         return n, rest, ll / n + (F.col("aa") - 2 * al + ll) / rest - F.col("aa") / F.col("all_n")
 
-    best = _best(ordered, sides, floor)
-    grouped.unpersist()
-    return best
+    try:
+        with running(grouped.where("v is not null"), ["node", "f", "class"], "v", ["n"]) as counted:
+            own = counted.join(each, ["node", "f", "class"])
+            growth = own.select("node", "f", "v", "n", (F.col("n") * (2 * F.col("run_n") - F.col("n"))).alias("ll"), (F.col("n") * F.col("a")).alias("al"), (F.col("n") * F.col("m")).alias("ml"))
+            with running(growth.groupBy("node", "f", "v").agg(*(F.sum(s).alias(s) for s in stats)), ["node", "f"], "v", stats) as ordered:
+                return _best(ordered.where("next_value is not null").join(whole, ["node", "f"]), sides, floor)
+    finally:
+        grouped.unpersist()
 
 
 def grow(rows: DataFrame, features: int, sums: Sequence[str], floor: int, max_depth: int) -> Tree:

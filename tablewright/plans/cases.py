@@ -241,7 +241,7 @@ ORACLES: dict[str, str] = {
         WITH r AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i, count(*) OVER () AS n FROM nation),
         s AS (SELECT *, '| ' || n_nationkey || ' | ' || n_name || ' |' AS shown FROM r)
         SELECT 0 AS line, '| n_nationkey | n_name |' AS shown UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 5, '| … | … |'
-        UNION ALL SELECT i + 1, shown FROM s WHERE i <= 3 UNION ALL SELECT 7 - (n - i), shown FROM s WHERE n - i < 2""",
+        UNION ALL SELECT (i + 1)::INTEGER, shown FROM s WHERE i <= 3 UNION ALL SELECT (7 - (n - i))::INTEGER, shown FROM s WHERE n - i < 2""",
     "preview_sample_size": "SELECT least(25, count(*)) AS n, least(25, count(*)) AS different, least(25, count(*)) AS members, TRUE AS repeatable FROM orders",
     "restore_refusals": _values(
         [("same", 2), ("by id", 2), ("none given", None), ("unknown name", None), ("given twice", None), ("other rows", None), ("other columns", None), ("other values", None)], "given, restored"

@@ -137,6 +137,7 @@ def tree_depth_six(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _price_rows(spark, sf_dir).persist()
     tree = grow(rows, 2, ["c0"], leaf_floor(rows.count(), 5), 6)
     found = rows.groupBy(tree.node().alias("node")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 2).alias("mean"))
+    rows.unpersist()
     return found
 
 
@@ -209,7 +210,7 @@ ORACLES: dict[str, str] = {
     "profile_unique_with_null": "SELECT count(t) AS n, count(*) - count(t) AS nulls, count(DISTINCT t) + max((t IS NULL)::BIGINT) AS uniques FROM (SELECT CASE WHEN event_type <> 'click' THEN event_type END AS t FROM events)",
     "percentile_nearest": "SELECT mark, max(x) FILTER (WHERE i = floor((n - 1) * mark + 0.5)) AS value FROM (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders), (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS mark) GROUP BY mark",
     "derive_two_step": "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 1000000",
-    "feature_filter": "WITH n AS (SELECT count(*) AS n, count(DISTINCT p_name) AS a, count(DISTINCT p_brand) AS b, count(DISTINCT p_type) AS t FROM part) SELECT 'p_name' AS name, a <= 0.9 * n AS kept, CASE WHEN a > 0.9 * n THEN 'high cardinality: likely unique identifier' ELSE '' END AS reason FROM n UNION ALL SELECT 'p_brand', b <= 0.9 * n, CASE WHEN b > 0.9 * n THEN 'high cardinality: likely unique identifier' ELSE '' END FROM n UNION ALL SELECT 'p_type', t <= 0.9 * n, CASE WHEN t > 0.9 * n THEN 'high cardinality: likely unique identifier' ELSE '' END FROM n UNION ALL SELECT 'p_size', TRUE, '' UNION ALL SELECT 'none', FALSE, 'all values are null' UNION ALL SELECT 'same', FALSE, 'single unique value' UNION ALL SELECT 'p_partkey', TRUE, ''",
+    "feature_filter": "WITH n AS (SELECT count(*) AS n, count(DISTINCT p_name) AS a, count(DISTINCT p_brand) AS b, count(DISTINCT p_type) AS t FROM part) SELECT 'p_name' AS name, a <= 0.9 * n AS kept, CASE WHEN a > 0.9 * n THEN 'over nine tenths of the rows have a label of their own' ELSE '' END AS reason FROM n UNION ALL SELECT 'p_brand', b <= 0.9 * n, CASE WHEN b > 0.9 * n THEN 'over nine tenths of the rows have a label of their own' ELSE '' END FROM n UNION ALL SELECT 'p_type', t <= 0.9 * n, CASE WHEN t > 0.9 * n THEN 'over nine tenths of the rows have a label of their own' ELSE '' END FROM n UNION ALL SELECT 'p_size', TRUE, '' UNION ALL SELECT 'none', FALSE, 'no value in any row' UNION ALL SELECT 'same', FALSE, 'the same in every row' UNION ALL SELECT 'p_partkey', TRUE, ''",
     "encode_ordinal": "WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment END AS g FROM customer) SELECT c_custkey, (dense_rank() OVER (ORDER BY g NULLS LAST) - 1)::DOUBLE AS code FROM s",
     "encode_epoch_micros": "SELECT o_orderkey, epoch_us(o_orderdate)::DOUBLE AS micros FROM orders",
     "task_inference": " UNION ALL ".join(f"SELECT '{c}' AS name, CASE WHEN count(DISTINCT {c}) <= 20 OR count(DISTINCT {c}) < 0.05 * count(*) THEN 'classification' ELSE 'regression' END AS task FROM lineitem" for c in ("l_linenumber", "l_orderkey")) + " UNION ALL SELECT 'l_quantity', 'regression' UNION ALL SELECT 'l_returnflag', 'classification'",

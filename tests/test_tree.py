@@ -37,7 +37,8 @@ def test_importances():
 
 def test_running_sums_cross_ranges(spark):
     rows = spark.range(200).selectExpr("id % 2 AS g", "CAST(id AS DOUBLE) AS v", "id AS n").repartition(7)
-    got = running(rows, ["g"], "v", ["n"]).collect()
+    with running(rows, ["g"], "v", ["n"]) as summed:
+        got = summed.collect()
     for r in got:
         assert r["run_n"] == sum(x for x in range(200) if x % 2 == r["g"] and x <= r["v"])
         assert r["next_value"] == (r["v"] + 2 if r["v"] + 2 < 200 else None)
@@ -49,7 +50,7 @@ def test_feature_filter_and_tasks(spark):
     frame = spark.createDataFrame(rows, "n long, unique string, kind string, none string, same int, few int, ratio double, flag boolean, nested array<long>")
     kept, why = filter_features(frame, frame.columns)
     assert kept == ["n", "kind", "few", "ratio", "flag"]
-    assert why == {"unique": "high cardinality: likely unique identifier", "none": "all values are null", "same": "single unique value", "nested": "unsupported dtype"}
+    assert why == {"unique": "over nine tenths of the rows have a label of their own", "none": "no value in any row", "same": "the same in every row", "nested": "a type that cannot be split on"}
     assert [infer_task(frame, c) for c in ("n", "kind", "few", "ratio", "flag")] == ["regression", "classification", "classification", "regression", "classification"]
     assert infer_task(frame, "few", "regression") == "regression"
 
