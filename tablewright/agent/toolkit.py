@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from tablewright.plans.guard import analyse
 from tablewright.sources.models import DataFrameReference, DataFrameToolkitState, ToolCallError, is_table_id
 from tablewright.sources.registry import DataFrameRegistry, Snapshot
 from tablewright.sources.state import restore
+from tablewright.sources.together import together
 
 CORE_PROMPT = """You can explore tables with these tools; they live in Spark and never enter this conversation as a whole.
 
@@ -112,17 +114,20 @@ class DataFrameToolkit:
         for name in dataframes:
             if error := self._check_name(name):
                 raise ValueError(error.message)
-        ready: list[tuple[DataFrameReference, Snapshot]] = []
+        ready: dict[str, tuple[DataFrameReference, Snapshot]] = {}
+
+        def prepare(name: str, frame: DataFrame) -> None:
+            ready[name] = self._prepare(name, frame, description=(descriptions or {}).get(name), column_descriptions=(column_descriptions or {}).get(name))
+
         try:
-            for name, frame in dataframes.items():
-                ready.append(self._prepare(name, frame, description=(descriptions or {}).get(name), column_descriptions=(column_descriptions or {}).get(name)))
+            together([partial(prepare, name, frame) for name, frame in dataframes.items()])
         except BaseException:
-            for _, kept in ready:
+            for _, kept in ready.values():
                 kept.release()
             raise
-        for reference, kept in ready:
-            self._registry.register(reference, kept)
-        return [reference for reference, _ in ready]
+        for name in dataframes:
+            self._registry.register(*ready[name])
+        return [ready[name][0] for name in dataframes]
 
     def _register_result(self, name: str, dataframe: DataFrame, **about: object) -> DataFrameReference | ToolCallError:
         if error := self._check_name(name):

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tablewright.functions.columns import as_number, is_instant, is_numeric, named, without_nan
 from tablewright.sources.models import ColumnSummary, DataFrameReference, new_table_id
+from tablewright.sources.together import together
 
 PERCENTILES = (0.25, 0.5, 0.75)
 #: Columns whose aggregates make one job, so that plans of wide tables stay small.
@@ -127,8 +128,9 @@ def profile(frame: DataFrame, columns: Sequence[str] | None = None, descriptions
                 ranked.append(c)
     row = frame.agg(*aggs).first().asDict()
     n = row["n"]
-    ranks = _ordered(frame, ranked if n else [], PERCENTILES)
-    uniques = _uniques(frame, [c for c in columns if n and c not in ranks])
+    others = [c for c in columns if c not in ranked]
+    # after the first pass, which fills what a kept frame holds
+    ranks, uniques = together([lambda: _ordered(frame, ranked, PERCENTILES), lambda: _uniques(frame, others)]) if n else ({}, {})
     found = {}
     for i, c in enumerate(columns):
         kind = frame.schema[c].dataType

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from tablewright.plans.errors import QueryError
 from tablewright.plans.guard import analyse
 from tablewright.sources.models import ColumnSummary, DataFrameReference, DataFrameToolkitState
 from tablewright.sources.registry import DataFrameRegistry, Snapshot
+from tablewright.sources.together import together
 
 EXACT = ("dtype", "count", "null_count", "unique_count")
 NEAR = ("min", "max", "mean", "std", "p25", "p50", "p75")
@@ -72,7 +74,7 @@ def restore(state: DataFrameToolkitState, base_dataframes: Mapping[str, DataFram
     try:
         for r in bases:
             snapshots[r.id] = Snapshot(frames[r.id])
-            verify(snapshots[r.id].frame, r, rel_tol)
+        together([partial(verify, snapshots[r.id].frame, r, rel_tol) for r in bases])
         for r in bases:
             registry.register(r, snapshots.pop(r.id))
         for r in order:
